@@ -5,7 +5,7 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +98,12 @@ def bucket_of(key: str, bounds: list) -> Column:
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list:
-    """At most ``parts - 1`` ascending split values of ``key``, taken from its values; one narrow column scan."""
+    """At most ``parts - 1`` ascending split values of ``key``, taken from its values above the least; one narrow column scan."""
     if parts < 2:
         return []
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    found = df.select(F.percentile_approx(key, shares, F.lit(max(10_000, 20 * parts)))).first()[0]
-    return sorted(set(found or []))
+    found, least = df.select(F.percentile_approx(key, shares, F.lit(max(10_000, 20 * parts))), F.min(key)).first()
+    return sorted(set(found or []) - {least})
 
 
 def text_column(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -137,10 +137,6 @@ def sliced(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4
             row = end
 
 
-def arrow_schema(fields: list[tuple[str, pa.DataType]]) -> pa.Schema:
-    return pa.schema(fields)
-
-
 # ---------------------------------------------------------------- word hashes
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -226,5 +222,3 @@ def _long_word(word: np.ndarray) -> np.uint64:
         total += int(part.sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
     return np.uint64(total & (2**64 - 1))
 
-
-Mapper = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]

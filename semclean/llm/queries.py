@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embedding_dedup, fingerprint, langid, line_dedup, mixing, ngram_join, packing, token_output
+from . import chat, embedding_dedup, fingerprint, langid, line_dedup, mixing, ngram_join, packing, pii, token_output
 from .tokenizer import tokenizer_path
 
 
@@ -22,6 +22,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     words = "\\### Assistant: </turn> ok"
@@ -58,6 +62,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_mixing": op2_mixing,
+    "op3_pii": op3_pii,
     "op4_chat": op4_chat,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_output": op6_token_output,

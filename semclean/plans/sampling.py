@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import not_blank, require_positive
+from .dedup_map import persisted
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "__rank") -> tuple[DataFrame, int]:
     """``df`` with a global 0-based rank in ``order``, and the number of rows."""
-    spread = df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())
+    # kept, since the layout into partitions may be another one when the plan runs again
+    spread = persisted(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
     # partition number and place within it, as that id is laid out
     spread = spread.withColumn("__part", F.shiftright("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     totals = spread.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()

@@ -36,8 +36,8 @@ TAKEN, RANGE_HASHES = 102, 4_000_000
 SUBSET, BLOCK = 2, 512
 #: Class ids that may be sent to every task; beyond it they are joined.
 SENT_IDS = 2_000_000
-#: Cells of the sketch that orders shingles: two bytes each, so at most 32 MB wherever it is sent.
-MOST_CELLS = 1 << 24
+#: Cells of the sketch that orders shingles: two bytes each, so at most 8 MB wherever it is sent.
+MOST_CELLS = 1 << 22
 
 
 def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +136,7 @@ def _blocks(parts: int):
             sizes.append(np.diff(at))
             keys.append(class_keys(h, at)[0])
             held += len(h)
-            if held > 2_000_000:
+            if held > 1_000_000:
                 yield from emit(unit, hashes, sizes, keys)
                 unit, hashes, sizes, keys, held = unit + 1, [], [], [], 0
         if keys:
@@ -253,10 +253,11 @@ def _sketch_cells(cells: int, rows: int = 64):
     """Counts of shingle hashes by cell, saturating at 16 bits, in ``rows`` slices."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.int64)
+        total = np.zeros(cells, np.uint32)
         for batch in batches:
             values = batch.column(0).flatten().to_numpy().view(np.uint64)
-            total += np.bincount((values >> np.uint64(20) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+            cell, count = np.unique((values >> np.uint64(20) & np.uint64(cells - 1)).astype(np.uint32), return_counts=True)
+            total[cell] += count.astype(np.uint32)
         parts = np.minimum(total, 65535).astype(np.uint16).reshape(rows, -1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rows, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["slice", "counts"])
 
@@ -281,17 +282,47 @@ def need(n: int) -> int:
     return -(-NUM * n // DEN)
 
 
-def light_limit(sizes: dict[int, int], list_length: float) -> int:
-    """The largest light size: listing subsets costs C(prefix, SUBSET) each, scanning prefix * list_length."""
+#: Work for an entry of a scanned list, in units of a listed subset, which is a shuffled and sorted row.
+SCAN_COST = 0.1
+
+
+def light_limit(sizes: dict[int, int], scanned: dict[int, float]) -> int:
+    """The largest light size: subsets listed up to it against prefixes posted and entries scanned beyond it.
+
+    ``sizes`` counts sets by size, ``scanned`` the entries in the lists of all prefixes of that size.
+    """
     best, cost, at = 0.0, 0.0, 0
     for n in sorted(sizes):
         prefix = n - need(n) + 1
-        cost += sizes[n] * (math.comb(prefix + SUBSET - 1, SUBSET) - prefix * (1 + list_length))
+        subsets = math.comb(prefix + SUBSET - 1, SUBSET) if need(n) >= SUBSET else prefix
+        cost += sizes[n] * (subsets - prefix) - SCAN_COST * scanned.get(n, 0.0)
         if cost < best:
             best, at = cost, n
     return at
 
 
+def _in_order(h: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set's shingles from rare to common by the sketch, ties by hash, and their counts in it."""
+    rank = table[(h >> np.uint64(20) & np.uint64(len(table) - 1)).astype(np.int64)]
+    order = np.lexsort((h, rank))
+    return h[order], rank[order]
+
+
+def _scans(counts, noise: float):
+    """Per set its size and the entries in the lists of its prefix, less what other shingles put into the cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column(0).to_pylist()
+            found = []
+            for size, hashes in zip(n, batch.column(1), strict=True):
+                _, rank = _in_order(hashes.values.to_numpy().view(np.uint64), counts.value)
+                found.append(float(np.maximum(0.0, rank[: size - need(size) + 1] - 1.0 - noise).sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(found, pa.float64())], names=["n", "scanned"])
+
+    return run
+
+
 _SIGNATURE = "kind int, h long, c long, n long, pos long, prev long"
 
 
@@ -299,8 +330,6 @@ def _signatures(counts, limit: int):
     """Light sets: hashes of the SUBSET-subsets of their prefix (kind 0). Sets that a heavy one may link with: prefix postings (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = counts.value
-        mask = np.uint64(len(table) - 1)
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], [], [], []]
 
@@ -309,9 +338,7 @@ def _signatures(counts, limit: int):
                     slot.append(x)
 
             for c, n, hashes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h = hashes.values.to_numpy().view(np.uint64)
-                rank = table[(h >> np.uint64(20) & mask).astype(np.int64)]
-                h = h[np.lexsort((h, rank))]
+                h, _ = _in_order(hashes.values.to_numpy().view(np.uint64), counts.value)
                 if n <= limit:
                     size = min(SUBSET, need(n))
                     pick = h[: n - need(n) + size]
@@ -336,12 +363,10 @@ def candidates(sets: DataFrame) -> DataFrame:
     spark = sets.sparkSession
     sizes = {r["n"]: r["k"] for r in sets.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
     sketch = frequency_sketch(sets, sum(n * k for n, k in sizes.items()))
-    # entries met per posting, by cells of the sketch: the mean list length seen from a posting
-    filled = sketch[sketch > 0].astype(np.float64)
-    length = float((filled**2).sum() / max(1.0, filled.sum())) - 1
-    limit = light_limit(sizes, max(0.0, length))
     held = spark.sparkContext.broadcast(sketch)
-    marks = sets.mapInArrow(_signatures(held, limit), _SIGNATURE)
+    scans = sets.select("n", "hashes").mapInArrow(_scans(held, float(sketch.mean())), "n long, scanned double").groupBy("n").agg(F.sum("scanned").alias("scanned"))
+    limit = light_limit(sizes, {r["n"]: r["scanned"] for r in scans.collect()})
+    marks = materialize(sets.mapInArrow(_signatures(held, limit), _SIGNATURE), "marks")
     lone = marks.filter("kind = 0").select("h", "c", "n")
     fits = f"x.n * {NUM} <= y.n * {DEN}"
     light = lone.alias("x").join(lone.alias("y"), F.expr(f"x.h = y.h and (x.n > y.n or (x.n = y.n and x.c > y.c)) and {fits}"))

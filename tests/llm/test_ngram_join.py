@@ -85,6 +85,13 @@ def test_any_boundary_finds_all(spark, monkeypatch, limit):
     assert result(ngram_join.similar_documents(frame(spark, rows))) == brute(rows)
 
 
+def test_boundary_follows_cost():
+    sizes = {n: 10 for n in range(5, 60)}
+    assert ngram_join.light_limit(sizes, {}) <= 9
+    assert ngram_join.light_limit(sizes, {n: 10 * 40.0 * n for n in sizes}) > 20
+    assert ngram_join.light_limit({}, {}) == 0
+
+
 def test_small_blocks_and_joined_ids(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "SENT_IDS", 0)

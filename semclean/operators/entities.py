@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_column
@@ -19,27 +20,63 @@ def normal_form(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
 
 
+def _slack(length: int, threshold: float) -> int:
+    return int(length * (1 - threshold) + 1e-9)
+
+
+def segment_keys(form: str, threshold: float) -> tuple[list[str], list[str]]:
+    """Keys of a form as the shorter and as the longer of a pair within the threshold's edit distance d.
+
+    The shorter is cut into d + 1 segments, one of which an alignment of at most d edits leaves whole and moves
+    by at most d; the longer lists all strings that such a segment could be. Pairs that qualify share a key.
+    """
+    n, shorter, longer = len(form), [], []
+    size = n
+    while size - n <= (d := _slack(size, threshold)):
+        if d:
+            cut = [i * n // (d + 1) for i in range(d + 2)]
+            shorter += [f"{size}|{n}|*"] if n <= d else [f"{size}|{n}|{i}|{form[cut[i] : cut[i + 1]]}" for i in range(d + 1)]
+        size += 1
+    d = _slack(n, threshold)
+    for m in range(max(0, n - d), n + 1) if d else ():
+        if m <= d:
+            longer.append(f"{n}|{m}|*")
+            continue
+        cut = [i * m // (d + 1) for i in range(d + 2)]
+        for i in range(d + 1):
+            width = cut[i + 1] - cut[i]
+            longer += [f"{n}|{m}|{i}|{form[at : at + width]}" for at in range(max(0, cut[i] - d), min(n - width, cut[i] + d) + 1)]
+    return sorted(set(shorter)), sorted(set(longer))
+
+
+def near_forms(forms: DataFrame, threshold: float) -> DataFrame:
+    """(big, small) of distinct ``forms(form)``: pairs within ``1 - threshold`` of the longer by Levenshtein distance.
+
+    An equi-join on shared segments, so forms without a part in common never meet.
+    """
+
+    @F.pandas_udf("struct<shorter:array<string>,longer:array<string>>")
+    def keys(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([segment_keys(v, threshold) for v in values], columns=["shorter", "longer"])
+
+    keyed = forms.withColumn("k", keys("form"))
+    a = keyed.select(F.col("form").alias("f"), F.explode("k.longer").alias("key"))
+    b = keyed.select(F.col("form").alias("g"), F.explode("k.shorter").alias("key"))
+    met = a.join(b, "key").filter(F.col("f") != F.col("g")).select(F.greatest("f", "g").alias("big"), F.least("f", "g").alias("small")).distinct()
+    return met.filter(F.levenshtein("big", "small") <= F.floor(F.greatest(F.length("big"), F.length("small")) * (1 - threshold) + 1e-9))
+
+
 def canonical_forms(values: DataFrame, threshold: float) -> DataFrame:
     """(value, canonical) of distinct ``values(value)``.
 
-    Values with one normal form are a group. Groups join when their forms share their first three
-    characters and a length within the threshold, and differ by at most ``1 - threshold`` of the longer by
-    Levenshtein distance: each goes to the smallest such form. The longest value of a group stands for it,
-    the smallest of these on ties.
+    Values with one normal form are a group; a group goes to the smallest form within the threshold's edit
+    distance of its own. The longest value of a group stands for it, the smallest of these on ties.
     """
     forms = values.withColumn("form", normal_form(F.col("value")))
-    own = forms.select("form").distinct()
-    a, b = own.select(F.col("form").alias("f")), own.select(F.col("form").alias("g"))
-    longer = F.greatest(F.length("f"), F.length("g"))
-    near = (F.substring("f", 1, 3) == F.substring("g", 1, 3)) & (F.col("f") > F.col("g"))
-    # the band join keeps lengths within the largest distance allowed, so few pairs meet
-    near &= F.abs(F.length("f") - F.length("g")) <= longer * (1 - threshold)
-    close = F.levenshtein("f", "g") <= longer * (1 - threshold)
-    moved = a.join(b, near & close).groupBy("f").agg(F.min("g").alias("to"))
+    moved = near_forms(forms.select("form").distinct(), threshold).groupBy(F.col("big").alias("f")).agg(F.min("small").alias("to"))
     grouped = forms.join(moved, F.col("form") == F.col("f"), "left").withColumn("group", F.coalesce("to", "form"))
-    best = Window.partitionBy("group").orderBy(F.length("value").desc(), "value")
-    stands = grouped.withColumn("nth", F.row_number().over(best)).filter("nth = 1").select("group", F.col("value").alias("canonical"))
-    return grouped.join(stands, "group").select("value", "canonical")
+    best = grouped.groupBy("group").agg(F.min(F.struct((-F.length("value")).alias("n"), F.col("value").alias("canonical"))).alias("best"))
+    return grouped.join(best, "group").select("value", F.col("best.canonical").alias("canonical"))
 
 
 def resolve_entities(df: DataFrame, target_col: str, *, threshold: float = 0.8, provider: Provider | None = None) -> DataFrame:

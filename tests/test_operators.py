@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import semclean
 from semclean.operators import profile
+from semclean.operators.entities import near_forms
 from semclean.operators.extract import extract_one
 from semclean.operators.features import crosses, mutual_information
 from semclean.operators.shred import Relational
@@ -160,6 +161,24 @@ def test_resolve_entities(spark):
     assert semclean.resolve_entities(df.filter("n is null"), "n").columns == ["n", "n_canonical"]
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("threshold", [0.95, 0.8, 0.6, 0.3])
+def test_near_forms_against_all_pairs(spark, threshold):
+    rng = random.Random(5)
+    forms = {"".join(rng.choice("abc") for _ in range(rng.randint(0, 14))) for _ in range(70)}
+    forms |= {f[:-1] + rng.choice("abc") + rng.choice(["", "x"]) for f in forms}
+    got = {(r.big, r.small) for r in near_forms(spark.createDataFrame([(f,) for f in forms], "form string"), threshold).collect()}
+    assert got == {(a, b) for a in forms for b in forms if a > b and edits(a, b) <= int(max(len(a), len(b)) * (1 - threshold) + 1e-9)}
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("a", 5), ("", 200), (None, 7)], "name string, age long")
     report = semclean.validate_quality(df, {"named": "name <> ''", "age": "age < 120"})

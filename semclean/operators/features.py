@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import json
-import math
 from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..codegen.sandbox import compile_sandboxed, compiled, run_with_timeout
@@ -50,20 +49,12 @@ def mutual_information(df: DataFrame, target_col: str, features: dict[str, Colum
 
     y = binned(F.col("y").cast("double"), float(spans["y0"]), float(spans["y1"])).cast("string") if numeric and spans["y0"] is not None else F.col("y").cast("string")
     cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), binned(F.col(n), spans[f"{n}0"], spans[f"{n}1"]).alias("b")) for i, n in enumerate(named)]))
-    rows = wide.select(y.alias("y"), cells.alias("c")).groupBy("c.i", "c.b", "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    tables: dict[int, dict] = {}
-    for r in rows:
-        tables.setdefault(r.i, {})[r.b, r.y] = r.n
-    out = {}
-    for i, name in enumerate(features):
-        cell = tables.get(i, {})
-        total = sum(cell.values())
-        px: dict = {}
-        py: dict = {}
-        for (b, t), n in cell.items():
-            px[b], py[t] = px.get(b, 0) + n, py.get(t, 0) + n
-        out[name] = sum(n / total * math.log(n * total / (px[b] * py[t])) for (b, t), n in cell.items()) if total else 0.0
-    return out
+    counts = wide.select(y.alias("y"), cells.alias("c")).groupBy("c.i", "c.b", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    total = lambda *by: F.sum("n").over(Window.partitionBy("i", *by))
+    terms = counts.select("i", "n", total().alias("t"), total("b").alias("x"), total("y").alias("z"))
+    rows = terms.groupBy("i").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("x") * F.col("z")))).alias("mi")).collect()
+    found = {r.i: r.mi for r in rows}
+    return {name: found.get(i, 0.0) for i, name in enumerate(features)}
 
 
 def feature_udf(source: str, columns: list[str]):

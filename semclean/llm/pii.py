@@ -35,8 +35,8 @@ _PATTERN = re.compile(
             r"(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))",
             rf"(?P<ipv4>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-            r"(?P<card>(?<!\d)\d(?:[ -]?\d){12,18}(?!\d))",
-            r"(?P<phone>(?<!\w)(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d))",
+            r"(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))",
+            r"(?P<phone>(?<!\w)(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:(?:[ .-]?\d{3,4}){2}|(?:[ .-]?\d{2}){4}|(?:[ .-]?\d{2,4}){2,3})|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d|\.\d))",
             rf"(?P<title>\b{_TITLES}\b\.?)\s+(?P<name>{_WORD}(?: {_WORD}){{0,2}})",
         ]
     )

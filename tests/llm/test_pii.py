@@ -77,6 +77,13 @@ def test_surrogates_are_distinct_and_unreal(spark, monkeypatch):
     assert not [r for r in made if (r.kind, r.surrogate) in real]
 
 
+def test_neighbours_stay_apart():
+    text = "+1 (826) 555-4081 190.137.223.204 x +1 (269) 555-3296 4524132264652876 y 4785380592391140 152.143.1.1 z +44 20 7946 0958 4111 1111 1111 1111, +1 988 555 2485 10.0.0.1"
+    want = [("phone", "+1 (826) 555-4081"), ("ipv4", "190.137.223.204"), ("phone", "+1 (269) 555-3296"), ("card", "4524132264652876"), ("card", "4785380592391140"), ("ipv4", "152.143.1.1")]
+    got = [(k, v) for *_, k, v in pii.detect(text)]
+    assert got[:6] == want and got[6:8] == [("phone", "+44 20 7946 0958"), ("card", "4111 1111 1111 1111")] and got[-2:] == [("phone", "+1 988 555 2485"), ("ipv4", "10.0.0.1")]
+
+
 @pytest.mark.parametrize("n", [2, 10, 97, 1000])
 def test_permutation(n):
     assert sorted(pii.permute(x, n, KEY, "t") for x in range(n)) == list(range(n))

@@ -6,7 +6,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from semclean.llm import mixing, packing, token_output
-from semclean.llm.tokenizer import PieceTokenizer, tokenizer_path
+from semclean.llm.tokenizer import PieceTokenizer, tokenizer, tokenizer_path
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 ODD = ["", " ", "\n\n a", "It's  they'LL\t\n x", "İstanbul é́ é", "你好 world", "a b c", "<|endoftext|> x", "!!'s 12 3", "x" * 5000, "  lead trail  ", "ŉ ǅ ß ẞ", "a\x1cb\x85c", "don't 'S", "½²ª"]
@@ -33,7 +33,7 @@ def test_token_files(spark, tmp_path):
     token_output.write_tokens(docs(spark, rows), path, BYTE, 2, parts=3)
     got = sorted(token_output.token_digests(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
-    start, library = 0, PieceTokenizer(BYTE)
+    start, library = 0, tokenizer(BYTE)
     texts = defaultdict(list)
     for i, t, _ in rows:
         texts[i].append(t or "")
@@ -63,7 +63,7 @@ def check_packing(rows, capacity, texts, path, end):
         assert at <= capacity
     want = Counter()
     for i, t in texts:
-        ids = np.frombuffer(PieceTokenizer(path).whole(t or ""), "<i4").tolist() + [end]
+        ids = np.frombuffer(tokenizer(path).whole(t or ""), "<i4").tolist() + [end]
         for k in range(0, len(ids), capacity):
             part = np.array(ids[k : k + capacity], "<u4")
             want[i, k // capacity, k, len(part), zlib.crc32(part.tobytes())] += 1

@@ -35,7 +35,7 @@ def extract_one(text: str, schema: type[BaseModel], instruction: str, provider:
         except Exception as error:
             why = error
             hint += f"IMPORTANT: the last reply was invalid ({type(error).__name__}); reply with valid JSON only.\n"
-    raise ValueError(f"Extraction failed after {max_retries} attempts: {why}")
+    raise ValueError(f"Extraction failed after {max_retries} attempts: {why}") from why
 
 
 def _answers(schema: type[BaseModel], instruction: str, provider: Provider, max_retries: int):
@@ -44,8 +44,8 @@ def _answers(schema: type[BaseModel], instruction: str, provider: Provider, max_
         for x in items:
             try:
                 out.append({"reply": extract_one(x, schema, instruction, provider, max_retries).model_dump_json()})
-            except ValueError:
-                out.append(None)
+            except ValueError as why:
+                out.append({"error": type(why.__cause__ or why).__name__})
         return out
 
     return answer
@@ -73,7 +73,7 @@ def extract(data: DataFrame | str, schema: type[BaseModel], instruction: str | N
     if not values.head(1):
         return data
     kind = struct_of(schema)
-    reply = T.StructType([T.StructField("reply", T.StringType())])
+    reply = T.StructType([T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
     ask = lambda todo: map_values(todo, _answers(schema, instruction, provider, max_retries), reply, batch_size)
     if cache is None:
         replies = persisted(ask(values), "replies")
@@ -81,13 +81,21 @@ def extract(data: DataFrame | str, schema: type[BaseModel], instruction: str | N
         hits, misses = cache.split(values, instruction)
         fresh = persisted(ask(misses), "replies")
         cache.append(fresh, instruction)
-        replies = persisted(hits.unionByName(fresh), "replies")
+        replies = persisted(hits.unionByName(fresh, allowMissingColumns=True), "replies")
     name = f"{target_col}_extracted"
     mapping = replies.select("value", F.from_json("reply", kind).alias(name))
     out = join_back(data.drop(name), target_col, mapping)
     return (out, to_models(out, name, schema)) if output_type == "pydantic" else out
 
 
+def error_counts(df: DataFrame, target_col: str, schema: type[BaseModel], instruction: str = "Extract.", *, provider: Provider | None = None, max_retries: int = 1) -> DataFrame:
+    """(error, n, samples) of the distinct values that can't be extracted: how many by kind, up to three of each."""
+    require_column(df, target_col)
+    fields = T.StructType([T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
+    replies = map_values(distinct_values(df, target_col), _answers(schema, instruction, provider or RuleProvider(), max_retries), fields)
+    return replies.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.array_distinct(F.array(F.min("value"), F.max("value"), F.min_by("value", F.xxhash64("value"))))), 1, 3).alias("samples"))
+
+
 # ---------------------------------------------------------------- compiled
 
 

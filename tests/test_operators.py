@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import semclean
 from semclean.operators import profile
 from semclean.operators.entities import near_forms
-from semclean.operators.extract import extract_one
+from semclean.operators.extract import error_counts, extract_one
 from semclean.operators.features import crosses, mutual_information
 from semclean.operators.shred import Relational
 from semclean.plans.sampling import length_stratified, strided_rows
@@ -94,6 +94,12 @@ def test_extract_and_cache(spark, tmp_path):
     assert models == [Product(name="a", price=1)] and out.count() == 1
 
 
+def test_error_counts(spark):
+    df = spark.createDataFrame([('{"name": "a", "price": 1}',), ("bad",), ("worse",), ('{"name": "a", "price": "x"}',), (None,)], "t string")
+    rows = error_counts(df, "t", Product).collect()
+    assert sum(r.n for r in rows) == 3 and all(r.samples for r in rows)
+
+
 def test_retries_tell_what_went_wrong():
     told = ScriptedProvider(replies=["nope", '{"name": "x"}', '{"name": "x", "price": 2}'])
     assert extract_one("t", Product, "i", told).price == 2

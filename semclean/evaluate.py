@@ -44,11 +44,15 @@ class Summary:
 
     @property
     def mean_score(self) -> float:
-        return sum(r.score for r in self.results) / len(self.results) if self.results else 0.0
+        return self._average([r.score for r in self.results])
 
     @property
     def pass_rate(self) -> float:
-        return sum(r.passed for r in self.results) / len(self.results) if self.results else 0.0
+        return self._average([float(r.passed) for r in self.results])
+
+    @staticmethod
+    def _average(values: list[float]) -> float:
+        return sum(values) / max(1, len(values))
 
 
 def exact_match(actual: str, expected: str, metadata: dict | None = None) -> tuple[float, str]:
@@ -112,7 +116,7 @@ class Evaluator:
             score, details = get_metric(case.metric)(actual, case.expected_output, case.metadata)
             results.append(Result(case, actual, score, score >= PASS, details))
             if self.tracker:
-                self.tracker.log_step(run_id, f"case_{i}_{case.task}", case.input, actual, {"expected": case.expected_output, "metric": case.metric})
+                self.tracker.log_step(run_id, f"case_{i}_{case.task}", case.input, actual, {"metric": case.metric, "expected": case.expected_output})
                 self.tracker.log_score(run_id, case.metric, score, details)
         summary = Summary(results)
         if self.tracker:
@@ -121,7 +125,7 @@ class Evaluator:
         return summary
 
 
-# ---------------------------------------------------------------- tables
+# tables
 
 
 def exact_match_col(actual: Column, expected: Column) -> Column:

@@ -68,7 +68,7 @@ def field_f1(df: DataFrame, struct_col: str) -> Column:
     return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 
 
-# ---------------------------------------------------------------- value and unit
+# value and unit
 
 NUMBER = r"[-+]?(?:\d{1,3}(?:,\d{3})+|\d+)(?:\.\d+)?"
 

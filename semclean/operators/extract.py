@@ -96,7 +96,7 @@ def error_counts(df: DataFrame, target_col: str, schema: type[BaseModel], instru
     return replies.filter("error is not null").groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.array_distinct(F.array(F.min("value"), F.max("value"), F.min_by("value", F.xxhash64("value"))))), 1, 3).alias("samples"))
 
 
-# ---------------------------------------------------------------- compiled
+# compiled
 
 
 def struct_udf(source: str, fn_name: str, kind: T.StructType, modules: tuple[str, ...] = MODULES, schema: type[BaseModel] | None = None, timeout_s: float = 2.0):

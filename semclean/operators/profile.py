@@ -123,7 +123,7 @@ def prune_traps(df: DataFrame, target_col: str, *, correlation_threshold: float
     return df.drop(*dropped), {"dropped_columns": dropped, "verdicts": verdicts}
 
 
-# ---------------------------------------------------------------- missingness
+# missingness
 
 
 def null_counts(df: DataFrame, columns: list[str] | None = None) -> dict[str, int]:
@@ -224,7 +224,7 @@ def recognize_missingness(df: DataFrame, target_cols: list[str] | None = None, *
     return out, {"patterns": patterns}
 
 
-# ---------------------------------------------------------------- leakage
+# leakage
 
 
 def purity(df: DataFrame, target_col: str, features: list[str]) -> dict[str, tuple[float, int]]:

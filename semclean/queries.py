@@ -46,7 +46,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 EMAIL_SQL, CARD_SQL, IP_SQL = pii.EMAIL, pii.CARD, pii.IPV4_STRICT
 
-# ---------------------------------------------------------------- personal data
+# personal data
 
 
 @query(f"select doc_id, regexp_replace(text, '{EMAIL_SQL}', '[EMAIL]', 'g') as text from documents")
@@ -92,7 +92,7 @@ def pii_entities(spark, sf_dir):
     return found.groupBy("doc_id", F.col("e.value").alias("value")).agg((F.min("e.start") + 1).cast("long").alias("position"))
 
 
-# ---------------------------------------------------------------- clean
+# clean
 
 
 @query("select l_orderkey, l_linenumber, (l_quantity::int)::varchar || ' kg' as raw, (l_quantity::int)::double as clean_value, 'kg' as clean_unit from lineitem")
@@ -122,7 +122,7 @@ def clean_null_blank(spark, sf_dir):
     return clean(table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw")), "raw").drop("clean_reasoning")
 
 
-# ---------------------------------------------------------------- extract and shred
+# extract and shred
 
 
 class Address(BaseModel):
@@ -178,7 +178,7 @@ def shred_users(spark, sf_dir):
     return _shred(spark, sf_dir, "users")
 
 
-# ---------------------------------------------------------------- statistics
+# statistics
 
 _PROFILED = ["l_quantity", "l_extendedprice", "l_discount"]
 
@@ -250,7 +250,7 @@ def leakage_purity(spark, sf_dir):
     return spark.createDataFrame([(k, round(float(p), 6), n) for k, (p, n) in found.items()], "feature string, purity double, n_values long")
 
 
-# ---------------------------------------------------------------- features, entities, samples
+# features, entities, samples
 
 
 @query(
@@ -332,7 +332,7 @@ def ranked_rows(spark, sf_dir):
     return rows.select("c_custkey", "place")
 
 
-# ---------------------------------------------------------------- scores and caches
+# scores and caches
 
 
 @query(

@@ -18,11 +18,11 @@ OK, INVALID_PAYLOAD, PIPELINE_ERROR, SERIALIZATION_ERROR = 0, 1, 2, 3
 
 
 class Payload(BaseModel):
-    data: list[dict[str, Any]]
     target_col: str
+    data: list[dict[str, Any]]
+    batch_size: int = Field(50, ge=1)
+    engine_config: dict[str, Any] = Field({})
     instruction: str = INSTRUCTION
-    engine_config: dict[str, Any] = Field(default_factory=dict)
-    batch_size: int = Field(default=50, ge=1)
 
 
 def _kind(values: list[Any]) -> T.DataType:
@@ -56,7 +56,7 @@ def run_pipeline(spark: SparkSession, payload: Payload) -> dict[str, Any]:
     df = frame_of(spark, payload.data)
     out = clean(df, payload.target_col, payload.instruction, provider=create_provider(**config.model_dump()), batch_size=payload.batch_size)
     rows = [r.asDict(recursive=True) for r in out.collect()]
-    return {"status": "ok", "data": rows, "row_count": len(rows)}
+    return {"row_count": len(rows), "status": "ok", "data": rows}
 
 
 def main(spark: SparkSession | None = None, source: TextIO | None = None, sink: TextIO | None = None) -> int:
@@ -64,7 +64,7 @@ def main(spark: SparkSession | None = None, source: TextIO | None = None, sink:
     source, sink = source or sys.stdin, sink or sys.stdout
 
     def fail(code: int, why: str) -> int:
-        sink.write(json.dumps({"status": "error", "code": code, "message": why}))
+        sink.write(json.dumps({"message": why, "code": code, "status": "error"}))
         return code
 
     try:

@@ -14,19 +14,19 @@ class Tracker(ABC):
     """A back end for evaluation runs."""
 
     @abstractmethod
-    def start_run(self, name: str, metadata: dict[str, Any]) -> str:
+    def start_run(self, name: str, about: dict[str, Any]) -> str:
         """Begin a run; its id."""
 
     @abstractmethod
-    def log_step(self, run_id: str, step_name: str, input_text: str, output_text: str, metadata: dict[str, Any]) -> None:
+    def log_step(self, run: str, label: str, given: str, made: str, about: dict[str, Any]) -> None:
         """A step of a run."""
 
     @abstractmethod
-    def log_score(self, run_id: str, name: str, value: float, comment: str | None = None) -> None:
+    def log_score(self, run: str, measure: str, number: float, remark: str | None = None) -> None:
         """A number for a run."""
 
     @abstractmethod
-    def end_run(self, run_id: str) -> None:
+    def end_run(self, run: str) -> None:
         """Write the run out."""
 
 
@@ -42,20 +42,20 @@ class ParquetTracker(Tracker):
     def _add(self, run_id: str, kind: str, name: str, given: str | None = None, made: str | None = None, value: float | None = None, note: str | None = None) -> None:
         self.open[run_id].append((run_id, kind, name, given, made, value, note, time.time()))
 
-    def start_run(self, name: str, metadata: dict[str, Any]) -> str:
+    def start_run(self, name: str, about: dict[str, Any]) -> str:
         run_id = uuid.uuid4().hex
         self.open[run_id] = []
-        self._add(run_id, "run", name, note=repr(metadata))
+        self._add(run_id, "run", name, note=repr(about))
         return run_id
 
-    def log_step(self, run_id: str, step_name: str, input_text: str, output_text: str, metadata: dict[str, Any]) -> None:
-        self._add(run_id, "step", step_name, input_text, output_text, note=repr(metadata))
+    def log_step(self, run: str, label: str, given: str, made: str, about: dict[str, Any]) -> None:
+        self._add(run, "step", label, given, made, note=repr(about))
 
-    def log_score(self, run_id: str, name: str, value: float, comment: str | None = None) -> None:
-        self._add(run_id, "score", name, value=float(value), note=comment)
+    def log_score(self, run: str, measure: str, number: float, remark: str | None = None) -> None:
+        self._add(run, "score", measure, value=float(number), note=remark)
 
-    def end_run(self, run_id: str) -> None:
-        self.spark.createDataFrame(self.open.pop(run_id), self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+    def end_run(self, run: str) -> None:
+        self.spark.createDataFrame(self.open.pop(run), self.SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
 
 class LangfuseTracker(Tracker):
@@ -68,17 +68,17 @@ class LangfuseTracker(Tracker):
             raise ImportError("langfuse is not installed") from why
         self.client, self.traces = Langfuse(**client), {}
 
-    def start_run(self, name: str, metadata: dict[str, Any]) -> str:
-        trace = self.client.trace(name=name, metadata=metadata)
+    def start_run(self, name: str, about: dict[str, Any]) -> str:
+        trace = self.client.trace(metadata=about, name=name)
         self.traces[trace.id] = trace
         return trace.id
 
-    def log_step(self, run_id: str, step_name: str, input_text: str, output_text: str, metadata: dict[str, Any]) -> None:
-        self.traces[run_id].span(name=step_name, input=input_text, output=output_text, metadata=metadata).end()
+    def log_step(self, run: str, label: str, given: str, made: str, about: dict[str, Any]) -> None:
+        self.traces[run].span(metadata=about, output=made, input=given, name=label).end()
 
-    def log_score(self, run_id: str, name: str, value: float, comment: str | None = None) -> None:
-        self.client.score(trace_id=run_id, name=name, value=value, comment=comment)
+    def log_score(self, run: str, measure: str, number: float, remark: str | None = None) -> None:
+        self.client.score(comment=remark, value=number, name=measure, trace_id=run)
 
-    def end_run(self, run_id: str) -> None:
-        self.traces.pop(run_id, None)
+    def end_run(self, run: str) -> None:
+        self.traces.pop(run, None)
         self.client.flush()

@@ -137,7 +137,7 @@ def sliced(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 4
             row = end
 
 
-# ---------------------------------------------------------------- word hashes
+# word hashes
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -95,7 +95,7 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     return out
 
 
-# ---------------------------------------------------------------- surrogates
+# surrogates
 
 
 def _prf(key: bytes, *parts: object) -> int:
@@ -256,7 +256,7 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     return encipher(value, key, kind)
 
 
-# ---------------------------------------------------------------- tables
+# tables
 
 
 def _detector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -13,7 +13,7 @@ from semclean.llm.tokenizer import tokenizer_path
 BYTE = tokenizer_path("byte_bpe_50k.json")
 
 
-# ---------------------------------------------------------------- chat
+# chat
 def turns(spark, rows):
     return spark.createDataFrame([(*r, 5, "y") for r in rows], "conv_id long, turn long, role string, text string, chunk int, formatted string")
 
@@ -54,7 +54,7 @@ def test_chat_chunks_encode_as_whole(spark):
     assert chat.format_chat(turns(spark, []), BYTE).count() == 0
 
 
-# ---------------------------------------------------------------- fingerprints
+# fingerprints
 def texts(spark, rows):
     return spark.createDataFrame([(i, t, 1, "z") for i, t in rows], "doc_id long, text string, part int, ahead string")
 
@@ -97,7 +97,7 @@ def test_likeness_estimates_jaccard(spark, sf_dir):
     assert again == {i: r.fingerprint for i, r in got.items()}
 
 
-# ---------------------------------------------------------------- embeddings
+# embeddings
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, 1) for i, v in rows], "vec_id long, embedding array<float>, size int")
 
@@ -150,7 +150,7 @@ def test_hot_list_is_cut(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
 
 
-# ---------------------------------------------------------------- language
+# language
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.predict(docs, langid.train(docs)).collect()

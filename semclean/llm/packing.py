@@ -84,15 +84,15 @@ def _cutter(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = tokenizer(path).encode
+        encode = tokenizer(path).encode_all
         unit = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         tail, step = np.array([end_id], "<i4").tobytes(), 4 * capacity
         for batch in sliced(batches):
             keys = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             rows: list[tuple] = []
-            for key, text in zip(keys, text_column(batch), strict=True):
-                ids = encode(text) + tail
+            for key, ids in zip(keys, encode(text_column(batch)), strict=True):
+                ids += tail
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
                     n = len(part) // 4

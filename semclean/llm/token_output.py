@@ -35,11 +35,11 @@ _SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens
 
 def _encoder(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode
+        encode = tokenizer(path).encode_all
         tail = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         part, row, start = -1, 0, 0
         for batch in sliced(batches):
-            ids = [encode(text) + tail for text in text_column(batch)]
+            ids = [x + tail for x in encode(text_column(batch))]
             lengths = np.array([len(x) // 4 for x in ids], np.int64)
             parts = batch.column(batch.schema.get_field_index("part")).to_numpy()
             rows, starts = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)

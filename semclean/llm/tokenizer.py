@@ -17,8 +17,10 @@ _UNSAFE = re.compile(f"[^{_L}0-9 \\t\\n\\r{_P}]")
 _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \\t\\n\\r{_L}0-9]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
 _WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^ \\t\\n\\r{_L}0-9]+")
 
-#: Entries after which a worker's cache starts anew; it bounds memory and never changes results.
-CACHE_ENTRIES = 400_000
+#: Pieces of a generation of a worker's cache; there are two. It bounds memory and never changes results.
+CACHE_ENTRIES = 250_000
+#: Pieces that one call of the library encodes.
+CALL_PIECES = 8192
 
 
 def tokenizer_path(name: str) -> str:
@@ -28,18 +30,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Cache(dict):
-    def __init__(self, encode) -> None:
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        found = self[piece] = self.encode(piece)
-        return found
-
-
 class PieceTokenizer:
     """``encode(text)`` gives the little-endian 32-bit ids of ``text``, without special tokens."""
 
@@ -56,17 +46,43 @@ class PieceTokenizer:
         specials = [t["content"] for t in spec.get("added_tokens", [])]
         kind = (spec.get("pre_tokenizer") or {}).get("type")
         self.pattern, self.lower = (_BYTE_LEVEL, False) if kind == "ByteLevel" else (_WORD_LEVEL, True) if specials and spec.get("normalizer") else (None, False)
-        self._array = np.array
-        self._int = np.dtype("<i4")
-        self.cache = _Cache(self.whole)
+        self._np = np
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return self._array(self.library.encode(text, add_special_tokens=False).ids, self._int).tobytes()
+        return self._np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Put the pieces that the cache lacks into it: from the older generation, else by the library."""
+        new = []
+        for piece in pieces.difference(self.cache):
+            if (known := self.older.get(piece)) is None:
+                new.append(piece)
+            else:
+                self.cache[piece] = known
+        np = self._np
+        for lo in range(0, len(new), CALL_PIECES):
+            part = new[lo : lo + CALL_PIECES]
+            found = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, "<i4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)) * 4
+            for piece, x, y in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                self.cache[piece] = ids[x:y]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; all pieces new to the cache are encoded together."""
+        if self.pattern is None:
+            return [self.whole(t) for t in texts]
+        split = [None if _UNSAFE.search(t) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
+        if len(self.cache) > CACHE_ENTRIES:
+            self.older, self.cache = self.cache, {}
+        self._learn({piece for pieces in split if pieces for piece in pieces})
+        get = self.cache.__getitem__
+        return [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        if self.pattern is None or _UNSAFE.search(text):
-            return self.whole(text)
-        return b"".join(map(self.cache.__getitem__, self.pattern.findall(text.lower() if self.lower else text)))
+        return self.encode_all([text])[0]
 
 
 @lru_cache(maxsize=4)

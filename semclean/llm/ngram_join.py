@@ -79,7 +79,7 @@ def class_keys(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
+    for batch in sliced(batches, most=1 << 20):
         hashes, at = shingle_hashes(batch.column(batch.schema.get_field_index("text")))
         c, c2 = class_keys(hashes, at)
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(np.diff(at).astype(np.int64)), pa.array(c), pa.array(c2)], names=["doc_id", "n", "c", "c2"])
@@ -130,13 +130,13 @@ def _blocks(parts: int):
 
         unit = TaskContext.get().partitionId() << 32
         hashes, sizes, keys, held = [], [], [], 0
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=1 << 20):
             h, at = shingle_hashes(batch.column(batch.schema.get_field_index("text")))
             hashes.append(h)
             sizes.append(np.diff(at))
             keys.append(class_keys(h, at)[0])
             held += len(h)
-            if held > 1_000_000:
+            if held > 500_000:
                 yield from emit(unit, hashes, sizes, keys)
                 unit, hashes, sizes, keys, held = unit + 1, [], [], [], 0
         if keys:
@@ -206,7 +206,7 @@ def _chosen_sets(ids: np.ndarray | None):
     """Sets with the wanted class: of the ids, or equal to the row's own column ``want``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=1 << 20):
             hashes, at = shingle_hashes(batch.column(batch.schema.get_field_index("text")))
             c, _ = class_keys(hashes, at)
             if ids is None:
@@ -230,10 +230,11 @@ def sets_of(docs: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame
     reps = classes.join(wanted, "c", "left_semi").select("c", "least")
     if count <= SENT_IDS:
         # the ids and their first documents are few: they go to the tasks, and texts stay where they are
-        rows = np.array([tuple(r) for r in reps.filter("least is not null").collect()], np.int64).reshape(-1, 2)
-        lost = reps.filter("least is null").limit(1).count()
-        docs = docs if lost else docs.mapInArrow(_only_docs(np.sort(rows[:, 1])), "doc_id long, text string")
-        found = docs.mapInArrow(_chosen_sets(np.sort(np.array([r[0] for r in reps.select("c").collect()], np.int64))), schema)
+        rows = reps.collect()
+        ids = np.array([r.least for r in rows if r.least is not None], np.int64)
+        if len(ids) == len(rows):
+            docs = docs.mapInArrow(_only_docs(np.sort(ids)), "doc_id long, text string")
+        found = docs.mapInArrow(_chosen_sets(np.array(sorted(r.c for r in rows), np.int64)), schema)
     else:
         joined = docs.join(reps, docs["doc_id"].eqNullSafe(reps["least"])).select("text", F.col("c").alias("want"))
         found = joined.mapInArrow(_chosen_sets(None), schema)
@@ -271,7 +272,8 @@ def _sum_slices(key: tuple, table: pa.Table) -> pa.Table:
 
 def frequency_sketch(sets: DataFrame, postings: int) -> np.ndarray:
     cells = 1 << min(MOST_CELLS.bit_length() - 1, max(12, int(postings).bit_length()))
-    few = sets.select("hashes").coalesce(max(1, min(64, sets.rdd.getNumPartitions())))
+    # a task per some millions of postings, so that its slices are small against what it reads
+    few = sets.select("hashes").coalesce(max(1, postings // 4_000_000))
     rows = few.mapInArrow(_sketch_cells(cells), "slice int, counts binary").groupBy("slice").applyInArrow(_sum_slices, "slice int, counts binary")
     got = {r["slice"]: bytes(r["counts"]) for r in rows.collect()}
     return np.frombuffer(b"".join(got[i] for i in sorted(got)), np.uint16) if got else np.zeros(cells, np.uint16)

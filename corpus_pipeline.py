@@ -6,11 +6,13 @@ the next stage's ``docs``. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semclean.llm import langid, line_dedup, mixing, ngram_join, packing
-from semclean.llm.common import materialize, release_scratch
+from semclean.llm.common import materialize, release_scratch, scratch_owner
 from semclean.llm.tokenizer import tokenizer_path
 
 
@@ -21,31 +23,46 @@ def _as(docs: DataFrame, made: DataFrame) -> DataFrame:
     return made.select(*docs.columns)
 
 
+OWNER = "pipeline"
+
+
+def _stage(fn):
+    """A stage begins when its predecessor's result is written, so the pipeline's earlier scratch tables can go."""
+
+    @wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_scratch(OWNER)
+        with scratch_owner(OWNER):
+            return fn(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a recognisable language go."""
-    release_scratch()
     return langid.keep_identified(docs, langid.train(docs))
 
 
+@_stage
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: repeated lines go from all but the largest ``doc_id`` holding them; a document left blank goes."""
-    release_scratch()
     cleaned = line_dedup.dedup_lines(docs)
     return _as(docs, cleaned.filter((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")))
 
 
+@_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: the smallest ``doc_id`` of each group of near duplicates stays."""
-    release_scratch()
     return ngram_join.keep_one(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: a document comes as often as the mix takes it whole, half or more of it counting as whole.
 
     A document that the mix takes less than half of goes, one taken again is repeated as rows of its own.
     """
-    release_scratch()
     taken = mixing.mix(docs)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     counts = materialize(taken.select(F.col("doc_id").alias("__id"), copies.alias("__n")).groupBy("__id").agg(F.max("__n").alias("__n")).filter("__n > 0"), "copies")
@@ -54,9 +71,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeated.select(*[docs[c] for c in docs.columns])
 
 
+@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Best-fit packing of every row into sequences of 4096 tokens."""
-    release_scratch()
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), 1)
 
 
@@ -71,7 +88,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = _kept(stage(spark, docs, sf_dir), name)
-    release_scratch()
+    release_scratch(OWNER)
     return docs
 
 

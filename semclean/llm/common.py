@@ -6,6 +6,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
-_SCRATCH: list[tuple[SparkSession, str]] = []
+_SCRATCH: list[tuple[SparkSession, str, str]] = []
+_OWNER = [""]
 
 #: Bytes that a shuffle partition should hold when the session's own number would make larger ones.
 TARGET_PARTITION_BYTES = 256 << 20
@@ -38,10 +40,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/semclean-{name}-{uuid.uuid4().hex[:12]}"
-    _SCRATCH.append((spark, path))
+    _SCRATCH.append((spark, path, _OWNER[-1]))
     return path
 
 
+@contextmanager
+def scratch_owner(name: str) -> Iterator[None]:
+    """Scratch tables made inside belong to ``name``."""
+    _OWNER.append(name)
+    try:
+        yield
+    finally:
+        _OWNER.pop()
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives executor loss."""
     spark = df.sparkSession
@@ -59,10 +71,12 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def release_scratch() -> None:
-    """Delete every scratch table made so far; for callers whose earlier results are all written."""
-    while _SCRATCH:
-        _delete(*_SCRATCH.pop())
+def release_scratch(owner: str) -> None:
+    """Delete an owner's scratch tables; for callers whose earlier results are all written."""
+    mine = [x for x in _SCRATCH if x[2] == owner]
+    _SCRATCH[:] = [x for x in _SCRATCH if x[2] != owner]
+    for spark, path, _ in mine:
+        _delete(spark, path)
 
 
 def shuffle_partitions(df: DataFrame) -> int:

@@ -37,7 +37,7 @@ def test_every_stage_against_brute_force(spark, sf_dir, tmp_path):
         made = stage(spark, now, sf_dir)
         made.write.parquet(str(tmp_path / name))
         got[name] = now = spark.read.parquet(str(tmp_path / name))
-    release_scratch()
+    release_scratch(corpus_pipeline.OWNER)
     for name in ("language_id", "line_dedup", "ngram_join", "mixing"):
         assert got[name].columns == COLUMNS
     rows = {n: [tuple(r) for r in df.collect()] for n, df in got.items()}

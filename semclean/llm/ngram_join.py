@@ -478,9 +478,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat an id are one document and the first by text stays, as does one of those without id;
     documents without words stay.
     """
-    found = similar_documents(docs).filter((F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = similar_documents(docs)
+    stays = (F.col("n_shingles") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id"))
+    found = materialize(found.select("doc_id", stays.alias("stays")), "stays")
+    goes = found.filter(~F.col("stays")).limit(SENT_IDS + 1)
+    if goes.count() <= SENT_IDS and not found.groupBy("doc_id").count().filter("count > 1").head(1):
+        # few go and no id repeats: the ids go to the tasks, and texts stay where they are
+        gone = [r.doc_id for r in goes.collect()]
+        return docs.mapInArrow(_without(np.array(sorted(i for i in gone if i is not None), np.int64), None in gone), docs.schema)
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    stay = found.select(key.alias("__stay")).distinct()
+    stay = found.filter("stays").select(key.alias("__stay")).distinct()
     kept = docs.withColumn("__key", key).join(stay, F.col("__key") == F.col("__stay"), "left_semi")
     first = Window.partitionBy("__key").orderBy("text")
     return kept.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*[docs[c] for c in docs.columns])
+
+
+def _without(ids: np.ndarray, null: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(batch.schema.get_field_index("doc_id"))
+            absent = keys.is_null().to_numpy(zero_copy_only=False)
+            out = np.isin(keys.fill_null(0).to_numpy(), ids) & ~absent | (absent & null)
+            yield batch.filter(pa.array(~out))
+
+    return run

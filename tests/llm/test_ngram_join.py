@@ -114,6 +114,14 @@ def test_empty_and_keep_one(spark):
     assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("sent", [2_000_000, 3])
+def test_keep_one_without_repeated_ids(spark, monkeypatch, sent):
+    monkeypatch.setattr(ngram_join, "SENT_IDS", sent)
+    rows = crowd(4) + [(900, None), (None, "a b c d e f"), (901, "A b c d e f"), (902, "")]
+    got = [r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted((r[0] for r in brute(rows) if r[0] == r[3] or r[1] == 0), key=str)
+
+
 def test_word_hashes_by_chunks(monkeypatch):
     texts = pa.array(["ab CD  ef", "", None, " x\ty\x0b", "é zz", "long" * 50 + " b", "tail"])
     import semclean.llm.common as common

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, shuffle_partitions, sliced, text_bytes, word_hashes
+from .common import arrow_records, materialize, mix64, shuffle_partitions, sliced, text_bytes, word_hashes
 from .graph import components
 
 WORDS = 5
@@ -36,6 +36,8 @@ TAKEN, RANGE_HASHES = 102, 4_000_000
 SUBSET, BLOCK = 2, 512
 #: Class ids that may be sent to every task; beyond it they are joined.
 SENT_IDS = 2_000_000
+#: Rows handed to Python at a time.
+BATCH_ROWS = 500
 #: Cells of the sketch that orders shingles: two bytes each, so at most 8 MB wherever it is sent.
 MOST_CELLS = 1 << 22
 
@@ -446,13 +448,15 @@ def similar_documents(docs: DataFrame) -> DataFrame:
     all of its component are null. Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select("doc_id", "text")
-    info = materialize(docs.mapInArrow(_sets, "doc_id long, n long, c long, c2 long"), "sets")
-    classes = info.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
-    classes = materialize(classes, "classes")
-    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    wanted = materialize(may_link(docs, total), "survivors")
-    sets = materialize(sets_of(docs, classes, wanted), "survivor-sets")
-    links = materialize(verified(candidates(sets), sets), "links")
+    # a batch of whole sets or texts is held by the JVM and by Python: small ones keep both small
+    with arrow_records(docs.sparkSession, BATCH_ROWS):
+        info = materialize(docs.mapInArrow(_sets, "doc_id long, n long, c long, c2 long"), "sets")
+        classes = info.filter("n > 0").groupBy("c", "c2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
+        classes = materialize(classes, "classes")
+        total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        wanted = materialize(may_link(docs, total), "survivors")
+        sets = materialize(sets_of(docs, classes, wanted), "survivor-sets")
+        links = materialize(verified(candidates(sets), sets), "links")
     sides = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     size = classes.select("c", "size")
     degree = sides.join(size, sides["b"] == size["c"]).groupBy(F.col("a").alias("d")).agg(F.sum("size").alias("others"))

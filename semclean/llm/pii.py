@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent replacements that keep distinctness and coreference.
 
 Detected values are collected over the whole corpus once each, get a surrogate, and are replaced wherever
-they stand. A string of letters and digits is enciphered as a number in its own format (same length,
+they stand: a name found after a title in one document is replaced in every document that holds the word,
+under the one kind that the whole corpus settles for it. A string of letters and digits is enciphered as a number in its own format (same length,
 case, digit and letter places, separators, check digit, private or public address), which is a permutation,
 so different values stay different. A name gets a made-up one of the same gender and script; equal ones
 are told apart in a collision check, and every surrogate is checked against the real values.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -23,7 +25,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MALE = r"Mr|Sir|Herr|Herrn|Señor|Sr|Monsieur|Don|г-н|господин|κύριος"
 _FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Señora|Sra|Señorita|Madame|Mme|Mlle|Doña|г-жа|госпожа|κυρία"
 _EITHER = r"Dr|Prof|Doctor|Professor|Doktor|Доктор"
-_WORD = r"[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω][^\W\d_]+(?:[-'’][^\W\d_]+)?"
+_CAPITAL = "[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]"
+_WORD = rf"{_CAPITAL}[^\W\d_]+(?:[-'’][^\W\d_]+)?"
 _TITLES = f"(?:{_MALE}|{_FEMALE}|{_EITHER})"
 _PATTERN = re.compile(
     "|".join(
@@ -42,6 +45,12 @@ _PATTERN = re.compile(
     )
 )
 _ANCHOR = re.compile(rf"[0-9@=]|(?i:password|passwd|pwd|secret|token|key)[\"']?\s*:|\b{_TITLES}\b")
+#: Where names may stand: words from a capital on, with what hyphens and apostrophes join to them.
+_RUN, _PART = re.compile(rf"(?<!\w){_CAPITAL}\w*(?:[-'’]\w+)*"), re.compile(r"\w+")
+#: Parts of the longest name between hyphens and apostrophes.
+MOST_PARTS = 4
+#: Names that are sent to every task; more are joined.
+SENT_NAMES = 100_000
 _IS_MALE, _IS_FEMALE = re.compile(f"(?:{_MALE})$"), re.compile(f"(?:{_FEMALE})$")
 _GIVEN_F = {"mary", "anna", "maria", "emma", "sofia", "julia", "laura", "sarah", "claire", "marie", "carmen", "elena", "olga", "jane", "lucy", "ingrid", "petra", "анна", "мария", "елена", "ольга"}
 _GIVEN_M = {"john", "james", "peter", "paul", "hans", "karl", "juan", "carlos", "pedro", "pierre", "jean", "luc", "ivan", "robert", "david", "thomas", "max", "иван", "пётр", "павел"}
@@ -56,14 +65,40 @@ def script_of(text: str) -> str:
     return "latin"
 
 
-def detect(text: str) -> list[tuple[int, int, str, str]]:
+def candidates(text: str) -> Iterator[str]:
+    """All words of ``text`` that could be names, parts joined by hyphens and apostrophes in every grouping."""
+    for run in _RUN.finditer(text):
+        parts = [m.span() for m in _PART.finditer(run[0])]
+        for i, (begin, _) in enumerate(parts):
+            for _, end in parts[i : i + MOST_PARTS]:
+                yield run[0][begin:end]
+
+
+def standing(text: str, names: dict[str, str]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, name) of the whole words of ``text`` in ``names``, ascending, the longest at a place."""
+    for run in _RUN.finditer(text):
+        parts, i = [m.span() for m in _PART.finditer(run[0])], 0
+        while i < len(parts):
+            ends = (j for j in range(min(len(parts), i + MOST_PARTS), i, -1) if run[0][parts[i][0] : parts[j - 1][1]] in names)
+            if j := next(ends, 0):
+                yield run.start() + parts[i][0], run.start() + parts[j - 1][1], run[0][parts[i][0] : parts[j - 1][1]]
+            i = j or i + 1
+
+
+def is_name(kind: str) -> bool:
+    return kind == "surname" or kind.startswith("given")
+
+
+def detect(text: str, known: dict[str, str] | None = None) -> list[tuple[int, int, str, str]]:
     """Spans (start, end, kind, value), ascending and apart.
 
     Names are found after a title, word by word (kind given-f/m/x or surname), and then wherever the same
     word stands alone in the text. Only lines with a digit, ``@``, assignment or title are looked into.
+    With ``known``, the kinds by name that the corpus settled, those names are found wherever they stand,
+    title or not, and under those kinds.
     """
     out: list[tuple[int, int, str, str]] = []
-    names: dict[str, str] = {}
+    names: dict[str, str] = dict(known or {})
     done = -1
     for anchor in _ANCHOR.finditer(text):
         if anchor.start() < done:
@@ -86,11 +121,10 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
                 kind = m.lastgroup
                 out.append((m.start(kind), m.end(kind), kind, m[kind]))
     if names:
-        taken = {s for s, *_ in out}
-        covered = [(s, e) for s, e, *_ in out]
-        for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, sorted(names, key=len, reverse=True))) + r")\b", text):
-            if m.start() not in taken and not any(s < m.end() and m.start() < e for s, e in covered):
-                out.append((m.start(), m.end(), names[m[0]], m[0]))
+        begins, ends = [x[0] for x in out], [x[1] for x in out]
+        for begin, end, name in standing(text, names):
+            if bisect_right(ends, begin) == bisect_left(begins, end):
+                out.append((begin, end, names[name], name))
     out.sort()
     return out
 
@@ -233,7 +267,7 @@ MOST_ATTEMPTS = 32
 
 def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The ``attempt``-th surrogate of a value; for all kinds but names each attempt is a permutation of the kind's values."""
-    if kind == "surname" or kind.startswith("given"):
+    if is_name(kind):
         return _name(kind, value, key, attempt)
     if attempt:
         key = hashlib.blake2b(str(attempt).encode(), key=key, digest_size=32).digest()
@@ -269,6 +303,52 @@ def _detector(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["k1", "k2", "kind", "value"])
 
 
+def _scanner(held):
+    """(k1, k2, value): words of each text that could be names; with ``held``, only those in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            k1, k2 = (batch.column(i).to_pylist() for i in (0, 1))
+            rows = []
+            for a, b, text in zip(k1, k2, batch.column(2).to_pylist(), strict=True):
+                if text:
+                    words = set(candidates(text))
+                    rows += [(a, b, w) for w in (words if held is None else words & held.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))], names=["k1", "k2", "value"])
+
+    return run
+
+
+def settled(found: DataFrame) -> DataFrame:
+    """(value, kind) of all names in ``found(kind, value)``: one kind for each, whatever document it is in.
+
+    By count, surname if more rows say so than given; a given name's gender is the commoner of the known ones.
+    """
+    f, m, x, surname = (F.count_if(F.col("kind") == k) for k in ("given-f", "given-m", "given-x", "surname"))
+    kind = F.when(surname > f + m + x, "surname").when(f > m, "given-f").when(m > f, "given-m").otherwise("given-x")
+    return found.filter(_IS_NAME).groupBy("value").agg(kind.alias("kind"))
+
+
+_IS_NAME = "kind = 'surname' or kind like 'given%'"
+
+
+def entities(docs: DataFrame) -> DataFrame:
+    """(k1, k2, kind, value) distinct: what is to be replaced in each text of ``docs(__k1, __k2, text)``.
+
+    Names of the whole corpus are looked for in every text. Up to ``SENT_NAMES`` names go to the tasks;
+    beyond, the texts' words are joined with them.
+    """
+    found = materialize(docs.mapInArrow(_detector, "k1 long, k2 long, kind string, value string"), "entities")
+    names = materialize(settled(found), "names")
+    count = names.limit(SENT_NAMES + 1).count()
+    if not count:
+        return found.distinct()
+    held = docs.sparkSession.sparkContext.broadcast(frozenset(r.value for r in names.collect())) if count <= SENT_NAMES else None
+    stand = docs.mapInArrow(_scanner(held), "k1 long, k2 long, value string").unionByName(found.filter(_IS_NAME).select("k1", "k2", "value"))
+    stand = stand.join(names, "value").select("k1", "k2", "kind", "value")
+    return materialize(found.filter(f"not ({_IS_NAME})").unionByName(stand).distinct(), "entities")
+
+
 def _assigner(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -312,7 +392,7 @@ def _replacer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counts.append(0)
                 continue
             to = {(f["kind"], f["value"]): f["surrogate"] for f in found}
-            spans, at, parts = detect(text), 0, []
+            spans, at, parts = detect(text, {v: k for k, v in to if is_name(k)}), 0, []
             for begin, end, kind, value in spans:
                 parts += [text[at:begin], to[kind, value]]
                 at = end
@@ -325,15 +405,16 @@ def _replacer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def replace_entities(docs: DataFrame, key: bytes = b"set a secret key") -> DataFrame:
     """``docs`` with surrogates in ``text``: its columns in order, then ``n_entities`` (spans replaced).
 
-    Reruns with one key agree, and one value has one surrogate in the whole corpus. A null text stays null
+    Reruns with one key agree, and one value has one surrogate in the whole corpus; a name that any document
+    has after a title is replaced in all of them, also where it is an ordinary word. A null text stays null
     and an empty one empty; equal texts get equal results; rows keep their ids, null or repeated as they
     are. Real values stay in the tables in the shared folder, never in the result. The texts are shuffled
     once, to the lists of their own surrogates, by a 128-bit hash of the text.
     """
     keys = [F.xxhash64("text").alias("__k1"), F.xxhash64(F.lit("pii"), "text").alias("__k2")]
-    found = materialize(docs.select(*keys, "text").mapInArrow(_detector, "k1 long, k2 long, kind string, value string"), "entities")
+    found = entities(docs.select(*keys, "text"))
     made = surrogates(found.select("kind", "value"), key)
-    lists = found.distinct().join(made, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__found"))
+    lists = found.join(made, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__found"))
     wide = docs.select("*", *keys)
     wide = wide.join(lists, (F.col("__k1") == lists["k1"]) & (F.col("__k2") == lists["k2"]), "left")
     kept = [f for f in docs.schema.fields if f.name != "text"]

@@ -98,3 +98,17 @@ def test_formats():
         assert made.split(".")[0] == ip.split(".")[0] or ip == "8.8.8.8"
     a, b = pii.surrogate("secret", "ab12" * 10, KEY), pii.surrogate("secret", "ab12" * 10, b"other")
     assert len(a) == 40 and a != b and all(c in "0123456789abcdef" for c in a)
+
+
+@pytest.mark.parametrize("sent", [100_000, 1])
+def test_names_are_the_same_in_all_documents(spark, monkeypatch, sent):
+    monkeypatch.setattr(pii, "SENT_NAMES", sent)
+    texts = {1: "Dr Zoe Lopez came", 2: "Ms Zoe Lopez came", 3: "Plain Zoe Lopez came; anti-Lopez, Zoe's, Zoey, mail Zoe.Lopez@x.org", 4: "Mr Thomas came", 5: "Mr Thomas Baker came", 6: "Lopez-Baker"}
+    got = {r.doc_id: r for r in pii.replace_entities(frame(spark, texts.items()), KEY).collect()}
+    zoe, lopez = got[1].text.split()[1:3]
+    assert "Zoe" != zoe and "Lopez" != lopez and zoe.endswith("a")
+    assert got[2].text == f"Ms {zoe} {lopez} came"
+    assert got[3].text.startswith(f"Plain {zoe} {lopez} came; anti-{lopez}, {zoe}'s, Zoey, mail ") and "Lopez@" not in got[3].text
+    thomas, baker = got[5].text.split()[1:3]
+    assert got[4].text == f"Mr {thomas} came" and thomas != "Thomas" and got[6].text == f"{lopez}-{baker}"
+    assert [got[i].n_entities for i in range(1, 7)] == [2, 2, 5, 1, 2, 2]

@@ -25,25 +25,33 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MALE = r"Mr|Sir|Herr|Herrn|Señor|Sr|Monsieur|Don|г-н|господин|κύριος"
 _FEMALE = r"Mrs|Ms|Miss|Madam|Frau|Señora|Sra|Señorita|Madame|Mme|Mlle|Doña|г-жа|госпожа|κυρία"
 _EITHER = r"Dr|Prof|Doctor|Professor|Doktor|Доктор"
-_CAPITAL = "[A-ZÀ-ÖØ-ÞЀ-ЯΑ-Ω]"
-_WORD = rf"{_CAPITAL}[^\W\d_]+(?:[-'’][^\W\d_]+)?"
+_CAPITALS = "".join(c for c in map(chr, range(0x10000)) if c.isupper() or c.istitle())
+_CAPITAL = f"[{_CAPITALS}]"
+_JOINED = r"(?:-[^\W\d_]+|['’](?!s\b)[^\W\d_]+)"  # O'Brien, but not the genitive's 's
+_WORD = rf"{_CAPITAL}(?:[^\W\d_]+{_JOINED}{{0,3}}|{_JOINED}{{1,3}})"
+_INITIAL = rf"{_CAPITAL}\."
+_NAME = rf"(?:{_INITIAL} ?){{0,3}}(?:{_WORD} (?:{_INITIAL} ?){{0,2}}){{0,2}}{_WORD}"
+_H = "[0-9A-Fa-f]{1,4}"
 _TITLES = f"(?:{_MALE}|{_FEMALE}|{_EITHER})"
 _PATTERN = re.compile(
     "|".join(
         [
             r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
             r"(?P<key>\bAKIA[0-9A-Z]{16}\b)",
-            r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b\s*[:=]\s*[\"']?)(?P<secret>[^\s\"',;#$&%]{6,})",
+            r"(?i:(?<![A-Za-z0-9])(?:password|passwd|pwd|secret(?:[_-]?key)?|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)"
+            r"(?P<secret>(?<=\")[^\"\n]{6,}(?=\")|(?<=')[^'\n]{6,}(?=')|(?:[^\s\"',;#&]|#(?=[^\s\"',;#&])|&(?![\w-]+=)){6,})",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b)",
-            r"(?P<ipv6>(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))",
+            # short forms hold a digit and a group of three or more, unlike a slice [1::2] or a scope a::b
+            rf"(?P<ipv6>(?<![\w:])(?:(?:{_H}:){{7}}{_H}|(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?!(?:[0-9A-Fa-f]*:+){{8,}}[0-9A-Fa-f])(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?)(?![\w:]|\.\d))",
             rf"(?P<ipv4>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
             r"(?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\d))",
             r"(?P<phone>(?<!\w)(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:(?:[ .-]?\d{3,4}){2}|(?:[ .-]?\d{2}){4}|(?:[ .-]?\d{2,4}){2,3})|\+\d{8,15}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\d|\.\d))",
-            rf"(?P<title>\b{_TITLES}\b\.?)\s+(?P<name>{_WORD}(?: {_WORD}){{0,2}})",
+            rf"(?P<title>\b{_TITLES}\b\.?)\s+(?P<name>{_NAME})",
         ]
     )
 )
+_NAME_PART = re.compile(rf"(?P<initial>{_CAPITAL})\.|{_WORD}")
 _ANCHOR = re.compile(rf"[0-9@=]|(?i:password|passwd|pwd|secret|token|key)[\"']?\s*:|\b{_TITLES}\b")
 #: Where names may stand: words from a capital on, with what hyphens and apostrophes join to them.
 _RUN, _PART = re.compile(rf"(?<!\w){_CAPITAL}\w*(?:[-'’]\w+)*"), re.compile(r"\w+")
@@ -93,7 +101,7 @@ def detect(text: str, known: dict[str, str] | None = None) -> list[tuple[int, in
     """Spans (start, end, kind, value), ascending and apart.
 
     Names are found after a title, word by word (kind given-f/m/x or surname), and then wherever the same
-    word stands alone in the text. Only lines with a digit, ``@``, assignment or title are looked into.
+    word stands alone in the text; an initial only after a title. Only lines with a digit, ``@``, assignment or title are looked into.
     With ``known``, the kinds by name that the corpus settled, those names are found wherever they stand,
     title or not, and under those kinds.
     """
@@ -108,15 +116,15 @@ def detect(text: str, known: dict[str, str] | None = None) -> list[tuple[int, in
         done = len(text) if done < 0 else done
         for m in _PATTERN.finditer(text, begin, done):
             if m["name"]:
-                words = m["name"].split(" ")
+                parts = list(_NAME_PART.finditer(m["name"]))
+                words = [p[0] for p in parts]
                 title = m["title"].rstrip(".")
                 gender = "m" if _IS_MALE.match(title) else "f" if _IS_FEMALE.match(title) else "f" if words[0].lower() in _GIVEN_F else "m" if words[0].lower() in _GIVEN_M else "x"
                 at = m.start("name")
-                for i, w in enumerate(words):
-                    kind = "surname" if i == len(words) - 1 else f"given-{gender}"
-                    kind = names.setdefault(w, kind)
-                    out.append((at, at + len(w), kind, w))
-                    at += len(w) + 1
+                for i, part in enumerate(parts):
+                    w = part["initial"] or part[0]
+                    kind = "initial" if part["initial"] else names.setdefault(w, "surname" if i == len(words) - 1 else f"given-{gender}")
+                    out.append((at + part.start(), at + part.start() + len(w), kind, w))
             else:
                 kind = m.lastgroup
                 out.append((m.start(kind), m.end(kind), kind, m[kind]))
@@ -260,6 +268,12 @@ def _name(kind: str, value: str, key: bytes, attempt: int) -> str:
     return out.upper() if value.isupper() and len(value) > 1 else out.capitalize()
 
 
+def _initial(value: str, key: bytes) -> str:
+    """Another capital of the same set for each; the letters of a set change places, so all are real ones."""
+    ours = next((s for s in _SETS if value in s), None) or "".join(c for c in _CAPITALS if not any(c in s for s in _SETS) and (c < "ɐ") == (value < "ɐ"))
+    return ours[(ours.index(value) + 1 + _prf(key, "initial", ours) % (len(ours) - 1)) % len(ours)]
+
+
 _HEX = ["0123456789abcdef"]
 #: Attempts after which a surrogate may be another real value: only where a format has hardly a free one.
 MOST_ATTEMPTS = 32
@@ -269,6 +283,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     """The ``attempt``-th surrogate of a value; for all kinds but names each attempt is a permutation of the kind's values."""
     if is_name(kind):
         return _name(kind, value, key, attempt)
+    if kind == "initial":
+        return _initial(value, key)
     if attempt:
         key = hashlib.blake2b(str(attempt).encode(), key=key, digest_size=32).digest()
     if kind == "email":
@@ -364,7 +380,7 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
 
     Values in a clash go on to their next surrogate until there is none. The smallest value of a clash
     keeps its own unless it is a real one. A format with hardly a free value left (all one-letter mailboxes
-    in use, say) may after ``MOST_ATTEMPTS`` give other real values, still distinct.
+    in use, say; always that of initials) may after ``MOST_ATTEMPTS`` give other real values, still distinct.
     """
     schema = "kind string, value string, attempt int, surrogate string"
     values = values.distinct()
@@ -373,7 +389,7 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
         real = now.select(F.col("kind").alias("rk"), F.col("value").alias("rv"))
         same = Window.partitionBy("kind", "surrogate").orderBy("attempt", "value")
         marked = now.withColumn("nth", F.row_number().over(same)).join(real, (F.col("kind") == F.col("rk")) & (F.col("surrogate") == F.col("rv")), "left")
-        marked = marked.withColumn("clash", (F.col("nth") > 1) | (F.col("rk").isNotNull() & (F.col("attempt") < MOST_ATTEMPTS))).select("kind", "value", "attempt", "surrogate", "clash", "nth")
+        marked = marked.withColumn("clash", (F.col("nth") > 1) | (F.col("rk").isNotNull() & (F.col("kind") != "initial") & (F.col("attempt") < MOST_ATTEMPTS))).select("kind", "value", "attempt", "surrogate", "clash", "nth")
         marked = materialize(marked, "clashes")
         if not marked.filter("clash").head(1):
             return now.select("kind", "value", "surrogate")

@@ -112,3 +112,37 @@ def test_names_are_the_same_in_all_documents(spark, monkeypatch, sent):
     thomas, baker = got[5].text.split()[1:3]
     assert got[4].text == f"Mr {thomas} came" and thomas != "Thomas" and got[6].text == f"{lopez}-{baker}"
     assert [got[i].n_entities for i in range(1, 7)] == [2, 2, 5, 1, 2, 2]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"password": "hunter2222", "x": 1}', ["hunter2222"]),
+        ("DB_PASSWORD=hunter2222", ["hunter2222"]),
+        ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMIK7MDENG", ["wJalrXUtnFEMIK7MDENG"]),
+        ("SECRET_KEY: abcdef12", ["abcdef12"]),
+        ("password=pa$$word12 next", ["pa$$word12"]),
+        ("password=pa#word12 and token=100%sure", ["pa#word12", "100%sure"]),
+        ("password='it is, all; of#it' x", ["it is, all; of#it"]),
+        ("http://h/?token=abcdef123&user=bob", ["abcdef123"]),
+        ("from 2001:db8::1 to fe80::1ff:fe23:4567:890a, 2001:db8:: and ::ffff:192.0.2.1.", ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8::", "192.0.2.1"]),
+        ("x[1::2] a::b std::vec 12:30:45 1:2:3:4:5:6:7:8::9abc", []),
+        ("Dr. J. Smith and Prof. J.R.R. Tolkien, Mr. John F. Kennedy", ["J", "Smith", "J", "R", "R", "Tolkien", "John", "F", "Kennedy"]),
+        ("Mr. O'Brien's and Mr D’Arcy", ["O'Brien", "D’Arcy"]),
+        ("Mr Šimić, Ms Łucja Żak, Dr Ærø", ["Šimić", "Łucja", "Żak", "Ærø"]),
+        ("Mr Lopez's", ["Lopez"]),
+    ],
+)
+def test_forms(text, want):
+    spans = pii.detect(text)
+    assert [v for *_, v in spans] == want
+    for begin, end, kind, value in spans:
+        assert text[begin:end] == value
+        made = pii.surrogate(kind, value, KEY)
+        assert made != value and (kind != "ipv6" or made.count(":") == value.count(":"))
+
+
+def test_initials_change_places():
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ŠÉŁŻ", "ԱԲ"):
+        made = [pii.surrogate("initial", c, KEY) for c in letters]
+        assert len(set(made)) == len(letters) and all(a != b for a, b in zip(made, letters, strict=True))

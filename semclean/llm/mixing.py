@@ -4,7 +4,8 @@ Every source's documents are shuffled by a keyed hash and queue up once per epoc
 finish time is the tokens its source has sent by its end, divided by the source's target. All queues are
 served in the order of finish times, and the mix is cut where the total budget is spent. Since the
 targets add up to the budget, the cut is at virtual time 1: what a source sends before it is exactly its
-target, the last document in part.
+target, the last document in part. What is taken of a document follows from that without serving: mix()
+clips its source's running total at the target. finish_times() gives the mix as served.
 """
 
 from __future__ import annotations
@@ -59,6 +60,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     into slices of the hash range, slices are summed first, and windows run within a (source, slice), so a
     source with a third of all rows is spread like the rest.
     """
+    return _queued(docs, weights, most, seed, size).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _queued(docs: DataFrame, weights: tuple[float, ...], most: int, seed: int, size: Column | None) -> DataFrame:
+    """:func:`mix` with ``source`` and ``begin``, the source's running total before the document in its first epoch."""
     rows = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"))
     rows = rows.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))))
     slices = max(1, docs.select("doc_id").count() // SLICE_ROWS)
@@ -76,20 +82,21 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3,
     begin = F.col("base") + F.col("within") - F.col("size")
     epochs = [F.greatest(F.lit(0.0), F.least(F.col("size").cast("double"), F.col("target") - (begin + e * F.col("source_size")))) for e in range(most)]
     taken = F.floor(sum(epochs[1:], epochs[0]) + 0.5).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", F.least(taken, most * F.col("size")).alias("taken"))
+    return placed.select("doc_id", "source", "size", "source_size", "target", begin.alias("begin"), F.least(taken, most * F.col("size")).alias("taken"))
 
 
 def finish_times(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17) -> DataFrame:
     """The mix as served: one row per document and epoch taken, range-sorted by virtual finish time.
 
-    Columns doc_id, source, epoch, finish (of what is taken of it), words. For writing a mix in order.
+    Columns doc_id, source, epoch, finish (of what is taken of it), words. The finish time is the source's
+    running total of words by then, over all epochs, divided by its target. For writing a mix in order.
     """
-    rows = mix(docs, weights, most, seed).filter("taken > 0")
+    rows = _queued(docs, weights, most, seed, None).filter("taken > 0")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
     words = F.least(F.col("size"), F.col("taken") - F.col("epoch") * F.col("size"))
-    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    at = F.least(F.lit(1.0), (F.col("epoch") + h) * F.col("source_size") / F.col("target"))
-    return rows.select("doc_id", "epoch", at.alias("finish"), words.alias("words")).orderBy("finish", "doc_id", "epoch")
+    at = F.least(F.lit(1.0), (F.col("begin") + F.col("epoch") * F.col("source_size") + words) / F.col("target"))
+    return rows.select("doc_id", "source", "epoch", at.alias("finish"), words.alias("words")).orderBy("finish", "doc_id", "epoch")
+
 
 
 ORACLE = r"""

@@ -145,3 +145,14 @@ def test_mixing_slices_agree(spark, monkeypatch):
     whole = sorted(map(tuple, mixing.mix(docs(spark, rows)).collect()))
     monkeypatch.setattr(mixing, "SLICE_ROWS", 20)
     assert sorted(map(tuple, mixing.mix(docs(spark, rows)).collect())) == whole
+
+
+def test_finish_times_of_a_huge_document(spark):
+    rows = [(i, "w " * 10, "a") for i in range(40)] + [(40, "w " * 400, "a")] + [(i, "w " * 7, "b") for i in range(41, 90)]
+    served = mixing.finish_times(docs(spark, rows)).collect()
+    target = {s: t for s, t in brute_targets(Counter({"a": 800, "b": 343})).items()}
+    sent = Counter()
+    for r in sorted(served, key=lambda r: (r.source, r.finish)):
+        sent[r.source] += r.words
+        assert r.finish == pytest.approx(min(1, sent[r.source] / target[r.source]), abs=1 / target[r.source])
+    assert [r.finish for r in served] == sorted(r.finish for r in served)

@@ -140,29 +140,49 @@ def dependent_gaps(df: DataFrame, column: str, by: str, lift: float = 1.5, least
     return groups.join(F.broadcast(overall)).select("key", "rows", "gaps", (F.col("gaps") / F.col("rows")).alias("rate"), ((F.col("rows") >= least_rows) & (F.col("gaps") > 0) & (F.col("gaps") / F.col("rows") >= lift * F.col("overall"))).alias("depends"))
 
 
-#: A context column with more values than this is no category.
+#: A context column with more values than this must differ in its null rates by more than chance gives.
 MOST_VALUES = 64
-
-
-def _rule_flag(df: DataFrame, column: str, lift: float) -> tuple[Column, str] | None:
-    """The category under which gaps depend most, as a condition on the row."""
-    best: tuple[float, str, list] | None = None
+#: Standard deviations above what chance gives.
+CHANCE = 5.0
+#: Dependent values that a condition lists; more are joined.
+LISTED_VALUES = 1000
+
+
+def _beyond_chance(groups: DataFrame, least_rows: int = 5) -> bool:
+    """Whether null rates of ``groups(rows, gaps)`` differ more than random gaps would, by the chi-square of all values with rows enough."""
+    p = groups.agg(F.sum("gaps") / F.sum("rows")).first()[0]
+    if not p or p >= 1:
+        return False
+    v = p * (1 - p)
+    n = F.col("rows")
+    row = groups.filter(n >= least_rows).agg(F.count(F.lit(1)).alias("k"), F.sum(F.pow(F.col("gaps") - n * p, F.lit(2)) / (n * v)).alias("chi"), F.sum(2 + (1 - 6 * v) / (n * v)).alias("spread")).first()
+    return bool(row["k"]) and row["chi"] - row["k"] > CHANCE * row["spread"] ** 0.5
+
+
+def _rule_flag(df: DataFrame, out: DataFrame, column: str, lift: float) -> tuple[DataFrame, str] | None:
+    """``out``, which is ``df`` with flags, with ``{column}_mnar`` by the category under which gaps depend most."""
+    best: tuple[int, str, DataFrame, int] | None = None
     for f in df.schema:
         if f.name == column or not isinstance(f.dataType, (T.StringType, T.BooleanType, T.IntegralType)):
             continue
-        if df.select(f.name).distinct().limit(MOST_VALUES + 1).count() > MOST_VALUES:
+        groups = dependent_gaps(df, column, f.name, lift)
+        got = groups.agg(F.count(F.lit(1)).alias("k"), F.count_if("depends").alias("n"), F.sum(F.when(F.col("depends"), F.col("gaps"))).alias("score")).first()
+        if not got["n"] or (best is not None and got["score"] <= best[0]) or (got["k"] > MOST_VALUES and not _beyond_chance(groups)):
             continue
-        rows = [r for r in dependent_gaps(df, column, f.name, lift).collect() if r.depends]
-        score = sum(r.gaps for r in rows)
-        if rows and (best is None or score > best[0]):
-            best = (score, f.name, [r.key for r in rows])
+        best = (got["score"], f.name, groups.filter("depends").select("key"), got["n"])
     if best is None:
         return None
-    _, name, keys = best
+    _, name, found, n = best
+    if n > LISTED_VALUES:
+        there = found.select(F.col("key").alias("__key"), F.lit(True).alias("__there"))
+        wide = out.join(there, F.col(name).eqNullSafe(F.col("__key")), "left")
+        flag = F.col(column).isNull() & F.coalesce(F.col("__there"), F.lit(False))
+        return wide.withColumn(f"{column}_mnar", flag).drop("__key", "__there"), f"null rate depends on {name} in {n} values"
+    keys = [r.key for r in found.collect()]
     there = F.col(name).isin([k for k in keys if k is not None])
     if None in keys:
         there = there | F.col(name).isNull()
-    return F.col(column).isNull() & F.coalesce(there, F.lit(False)), f"null rate depends on {name} in {keys}"
+    return out.withColumn(f"{column}_mnar", F.col(column).isNull() & F.coalesce(there, F.lit(False))), f"null rate depends on {name} in {keys}"
 
 
 def flag_udf(source: str, columns: list[str]):
@@ -179,8 +199,9 @@ def flag_udf(source: str, columns: list[str]):
 def recognize_missingness(df: DataFrame, target_cols: list[str] | None = None, *, sample_size: int = 50, max_retries: int = 3, provider: Provider | None = None, lift: float = 1.5) -> tuple[DataFrame, dict[str, Any]]:
     """Add ``{col}_mnar`` to columns with nulls whose absence tells something, and say what.
 
-    The rule: among category columns, values under which the null rate is ``lift`` times the overall one; a
-    row is flagged if its value is null under one of them. A model writes ``encode_missingness(row)`` from up
+    The rule: among text, boolean and integer columns, values under which the null rate is ``lift`` times the
+    overall one; a row is flagged if its value is null under one of them. A column of more than ``MOST_VALUES``
+    values counts if its null rates differ beyond chance, since among many values some differ by chance. A model writes ``encode_missingness(row)`` from up
     to ``sample_size`` such rows. A column without a pattern has ``None`` and no flag.
     """
     for c in target_cols or []:
@@ -192,11 +213,11 @@ def recognize_missingness(df: DataFrame, target_cols: list[str] | None = None, *
     flagged = []
     for c, n in gaps.items():
         if provider is None or provider.deterministic:
-            found = _rule_flag(df, c, lift)
+            found = _rule_flag(df, out, c, lift)
             if found is None:
                 patterns[c] = None
                 continue
-            flag, why = found
+            out, why = found
         else:
             context = [x for x in df.columns if x != c]
             rows = [r.asDict(recursive=True) for r in null_rows(df, c, sample_size).select(*context).collect()]
@@ -213,8 +234,7 @@ def recognize_missingness(df: DataFrame, target_cols: list[str] | None = None, *
             if source is None:
                 patterns[c] = None
                 continue
-            flag = flag_udf(source, df.columns)
-        out = out.withColumn(f"{c}_mnar", flag)
+            out = out.withColumn(f"{c}_mnar", flag_udf(source, df.columns))
         flagged.append(c)
         patterns[c] = {"pattern": why, "null_count": n}
     if flagged:

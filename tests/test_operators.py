@@ -262,6 +262,20 @@ def test_missingness(spark):
     assert semclean.recognize_missingness(df.select("quantity"))[1] == {"patterns": {}}
 
 
+@pytest.mark.parametrize("listed", [1000, 3])
+def test_missingness_of_many_values(spark, monkeypatch, listed):
+    monkeypatch.setattr(profile, "LISTED_VALUES", listed)
+    rows = [(None if s % 10 == 0 else float(i), None if s == 7 else f"s{s}", i) for s in range(100) for i in range(10)]
+    df = spark.createDataFrame(rows, "price double, store string, id long")
+    out, summary = semclean.recognize_missingness(df, ["price"])
+    assert out.columns == [*df.columns, "price_mnar"] and out.count() == 1000
+    assert out.filter("price_mnar").count() == summary["patterns"]["price"]["mnar_count"] == 100
+    assert out.filter("price_mnar and price is not null").count() == 0
+    # gaps by chance: some of 200 values have many of them, which tells nothing
+    by_chance = df.withColumn("price", F.when(F.xxhash64("store", "id") % 5 != 0, F.lit(1.0))).select("price", "store")
+    assert semclean.recognize_missingness(by_chance, ["price"])[1]["patterns"] == {"price": None}
+
+
 def test_leakage(spark):
     df = spark.createDataFrame([(i, i % 2, "xy"[i % 2], i % 5) for i in range(50)], "id long, y long, copy string, other long")
     out, summary = semclean.audit_leakage(df, "y")

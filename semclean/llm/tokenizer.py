@@ -3,7 +3,8 @@
 Both supported kinds of vocabulary encode every pre-token on its own, so a text's ids are its pieces'
 ids joined. Pieces are split here by the same pattern, the library encodes each distinct piece once per
 worker, and the rest is dictionary look-ups. A text with a character outside the set for which the
-patterns provably agree goes to the library whole. No vocabulary is copied or trained.
+patterns provably agree, or with an added token's string, goes to the library whole. No vocabulary is
+copied or trained.
 """
 
 from __future__ import annotations
@@ -40,10 +41,10 @@ class PieceTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.unsafe = re.compile("|".join([_UNSAFE.pattern, *map(re.escape, specials)]))
         kind = (spec.get("pre_tokenizer") or {}).get("type")
         self.pattern, self.lower = (_BYTE_LEVEL, False) if kind == "ByteLevel" else (_WORD_LEVEL, True) if specials and spec.get("normalizer") else (None, False)
         self._np = np
@@ -74,7 +75,7 @@ class PieceTokenizer:
         """The ids of each text; all pieces new to the cache are encoded together."""
         if self.pattern is None:
             return [self.whole(t) for t in texts]
-        split = [None if _UNSAFE.search(t) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
+        split = [None if self.unsafe.search(t) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
         if len(self.cache) > CACHE_ENTRIES:
             self.older, self.cache = self.cache, {}
         self._learn({piece for pieces in split if pieces for piece in pieces})

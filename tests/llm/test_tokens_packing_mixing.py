@@ -6,13 +6,19 @@ import pytest
 from tokenizers import Tokenizer
 
 from semclean.llm import mixing, packing, token_output
-from semclean.llm.tokenizer import PieceTokenizer, tokenizer, tokenizer_path
+from semclean.llm.tokenizer import PieceTokenizer, tokenizer_path
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
-ODD = ["", " ", "\n\n a", "It's  they'LL\t\n x", "İstanbul é́ é", "你好 world", "a b c", "<|endoftext|> x", "!!'s 12 3", "x" * 5000, "  lead trail  ", "ŉ ǅ ß ẞ", "a\x1cb\x85c", "don't 'S", "½²ª"]
+ODD = ["", " ", "\n\n a", "It's  they'LL\t\n x", "İstanbul é́ é", "你好 world", "a b c", "<|endoftext|> x", "hello <|endoftext|> bye<|startoftext|>", "<|ENDOFTEXT|> a<|endoftext|><|endoftext|>", "!!'s 12 3", "x" * 5000, "  lead trail  ", "ŉ ǅ ß ẞ", "a\x1cb\x85c", "don't 'S", "½²ª"]
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, part int, rank long"
 
 
+def library_ids(path, texts):
+    """Ids by the library alone, as the contract's call gives them."""
+    library = Tokenizer.from_file(path)
+    return [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def docs(spark, rows):
     return spark.createDataFrame([(i, t, "en", s, 0, 7, 7) for i, t, s in rows], DOCS)
 
@@ -20,7 +26,6 @@ def docs(spark, rows):
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_pieces_encode_as_the_library(spark, sf_dir, path):
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     ours = PieceTokenizer(path)
     texts = ODD + [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     for text in texts:
@@ -33,14 +38,14 @@ def test_token_files(spark, tmp_path):
     token_output.write_tokens(docs(spark, rows), path, BYTE, 2, parts=3)
     got = sorted(token_output.token_digests(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == sorted((r[0] for r in rows), key=lambda x: -1 if x is None else x)
-    start, library = 0, tokenizer(BYTE)
-    texts = defaultdict(list)
-    for i, t, _ in rows:
-        texts[i].append(t or "")
+    start = 0
+    crcs = defaultdict(set)
+    for (i, _, _), ids in zip(rows, library_ids(BYTE, [r[1] for r in rows]), strict=True):
+        crcs[i].add(zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
     for r in got:
         assert r.start == start
         start += r.n_tokens
-        assert r.ids_crc32 in {zlib.crc32(library.whole(t) + np.array([2], "<i4").tobytes()) for t in texts[r.doc_id]}
+        assert r.ids_crc32 in crcs[r.doc_id]
     few = token_output.read_tokens(spark, path, ["doc_id", "n_tokens"], first=3, last=9)
     assert sorted(r.doc_id for r in few.collect()) == [3, 6, 6, 6, 9]
     assert "ids" not in few._jdf.queryExecution().executedPlan().toString()
@@ -62,8 +67,8 @@ def check_packing(rows, capacity, texts, path, end):
             at += length
         assert at <= capacity
     want = Counter()
-    for i, t in texts:
-        ids = np.frombuffer(tokenizer(path).whole(t or ""), "<i4").tolist() + [end]
+    for (i, _), ids in zip(texts, library_ids(path, [t for _, t in texts]), strict=True):
+        ids = [*ids, end]
         for k in range(0, len(ids), capacity):
             part = np.array(ids[k : k + capacity], "<u4")
             want[i, k // capacity, k, len(part), zlib.crc32(part.tobytes())] += 1

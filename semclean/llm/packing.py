@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced, text_column
+from .common import lean, materialize, sliced, text_column
 from .tokenizer import tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, unit int, rank_in_unit long"
@@ -84,14 +84,14 @@ def _cutter(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode = tokenizer(path).encode_all
+        pieces = tokenizer(path)
         unit = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         tail, step = np.array([end_id], "<i4").tobytes(), 4 * capacity
-        for batch in sliced(batches):
+        for batch in sliced(batches, most=1 << 20):
             keys = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             rows: list[tuple] = []
-            for key, ids in zip(keys, encode(text_column(batch)), strict=True):
+            for key, ids in zip(keys, pieces.encode_all(text_column(batch)), strict=True):
                 ids += tail
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
@@ -102,8 +102,9 @@ def _cutter(path: str, end_id: int, capacity: int):
             cols = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "unit", "rank_in_unit"])
+        pieces.forget()
 
-    return run
+    return lean(run)
 
 
 def _placer(segments: list[tuple]):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_of, range_bounds, scratch_path, shuffle_partitions, sliced, text_column
+from .common import bucket_of, lean, range_bounds, scratch_path, shuffle_partitions, sliced, text_column
 from .tokenizer import tokenizer
 
 WRITE_OPTIONS = {
@@ -35,11 +35,11 @@ _SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens
 
 def _encoder(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path).encode_all
+        pieces = tokenizer(path)
         tail = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         part, row, start = -1, 0, 0
-        for batch in sliced(batches):
-            ids = [x + tail for x in encode(text_column(batch))]
+        for batch in sliced(batches, most=1 << 20):
+            ids = [x + tail for x in pieces.encode_all(text_column(batch))]
             lengths = np.array([len(x) // 4 for x in ids], np.int64)
             parts = batch.column(batch.schema.get_field_index("part")).to_numpy()
             rows, starts = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
@@ -54,8 +54,9 @@ def _encoder(path: str, end_id: int | None):
                 [batch.column(batch.schema.get_field_index("doc_id")), pa.array(parts), pa.array(rows), pa.array(starts), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), values)],
                 names=["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"],
             )
+        pieces.forget()
 
-    return run
+    return lean(run)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int | None = None, parts: int | None = None) -> None:

@@ -1,10 +1,10 @@
 """Batch encoding by the ``tokenizers`` library with a cache of the pieces its pre-tokenizer makes.
 
 Both supported kinds of vocabulary encode every pre-token on its own, so a text's ids are its pieces'
-ids joined. Pieces are split here by the same pattern, the library encodes each distinct piece once per
-worker, and the rest is dictionary look-ups. A text with a character outside the set for which the
-patterns provably agree, or with an added token's string, goes to the library whole. No vocabulary is
-copied or trained.
+ids joined. Pieces are split here by the same pattern, the library encodes a task's new pieces together,
+and the rest is dictionary look-ups. A text with a character outside the set for which the patterns
+provably agree, or with an added token's string, goes to the library whole. No vocabulary is copied or
+trained.
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ _UNSAFE = re.compile(f"[^{_L}0-9 \\t\\n\\r{_P}]")
 _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \\t\\n\\r{_L}0-9]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
 _WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^ \\t\\n\\r{_L}0-9]+")
 
-#: Pieces of a generation of a worker's cache; there are two. It bounds memory and never changes results.
-CACHE_ENTRIES = 250_000
+#: Pieces of a generation of a task's cache; there are two. Longer pieces than ``CACHE_CHARS`` are forgotten after
+#: their batch, so a generation holds some 20 MB at most. Neither changes results.
+CACHE_ENTRIES, CACHE_CHARS = 60_000, 64
 #: Pieces that one call of the library encodes.
 CALL_PIECES = 8192
 
@@ -80,7 +81,14 @@ class PieceTokenizer:
             self.older, self.cache = self.cache, {}
         self._learn({piece for pieces in split if pieces for piece in pieces})
         get = self.cache.__getitem__
-        return [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        out = [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split, strict=True)]
+        for piece in {piece for pieces in split if pieces for piece in pieces if len(piece) > CACHE_CHARS}:
+            del self.cache[piece]
+        return out
+
+    def forget(self) -> None:
+        """Give the cache's memory back; for the end of a task, since workers go on to other work."""
+        self.cache, self.older = {}, {}
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

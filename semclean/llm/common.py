@@ -92,6 +92,24 @@ def release_scratch(owner: str) -> None:
         _delete(spark, path)
 
 
+#: Bytes of a table that may be sent to every task.
+SENT_BYTES = 8 << 20
+
+
+def sent(df: DataFrame, row_bytes: int = 16) -> DataFrame:
+    """``df`` with the hint to broadcast it if its counted rows, of ``row_bytes`` each, fit in ``SENT_BYTES``; else as it is, and joined by shuffle."""
+    most = SENT_BYTES // row_bytes
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     """``run`` for ``mapInArrow``, giving freed memory back at the end of a task: a worker idles between tasks, and later stages need the room."""
 

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from semclean.llm import graph, ngram_join
+from semclean.llm import common, graph, ngram_join
 from semclean.llm.common import text_bytes, word_hashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -88,17 +88,56 @@ def test_any_boundary_finds_all(spark, monkeypatch, limit):
 def test_boundary_follows_cost():
     sizes = {n: 10 for n in range(5, 60)}
     assert ngram_join.light_limit(sizes, {}) <= 9
-    assert ngram_join.light_limit(sizes, {n: 10 * 40.0 * n for n in sizes}) > 20
+    assert ngram_join.light_limit(sizes, {n: 10 * 800.0 * n for n in sizes}) > 20
     assert ngram_join.light_limit({}, {}) == 0
 
 
 def test_small_blocks_and_joined_ids(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
-    monkeypatch.setattr(ngram_join, "SENT_IDS", 0)
+    monkeypatch.setattr(common, "SENT_BYTES", 0)
     rows = crowd(5) + EDGES
     assert result(ngram_join.similar_documents(frame(spark, rows))) == brute(rows)
 
 
+def hot_rows():
+    """Ids and groups that hold a third of all rows each: one id, no id, near copies of one text, copies."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    near = lambda: " ".join(w if rng.random() > 0.01 else f"x{rng.randrange(9999)}" for w in words)
+    rows = [(77, f"own text number {i} of the id that all share") for i in range(40)] + [(None, f"a text {i} without any id at all {i}") for i in range(40)]
+    return rows + [(1000 + i, near()) for i in range(120)] + [(2000 + i, "copies of one text are one class here") for i in range(60)]
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_hot_groups(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rows = hot_rows()
+    assert result(ngram_join.similar_documents(frame(spark, rows))) == brute(rows)
+
+
+def test_near_copies_are_not_listed_in_pairs(spark):
+    words = [f"w{i}" for i in range(200)]
+    hashes, at = ngram_join.shingle_hashes(pa.array([" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(150)]))
+    sets = {hashes[a:b].tobytes() for a, b in zip(at[:-1], at[1:])}
+    rows = [(i, len(s) // 8, 1, np.frombuffer(s, np.int64).tolist()) for i, s in enumerate(sorted(sets))]
+    made = spark.createDataFrame(rows, "c long, n long, size long, hashes array<long>")
+    marked, limit = ngram_join.marks(made)
+    listed = ngram_join.lists(marked)
+    pairs = ngram_join.pairs_apart(listed, ngram_join.homes(listed), limit).count()
+    linked = ngram_join.linked_sets(made).groupBy().sum("others").first()[0]
+    assert linked == 150 * 149 and pairs < linked / 100
+
+
+@pytest.mark.parametrize("dense", [True, False])
+def test_overlaps(dense):
+    rng = np.random.default_rng(1)
+    pool = rng.integers(0, 1 << 40, 40 if dense else 4000)
+    sets = [np.unique(rng.choice(pool, 30)) for _ in range(50)]
+    got = ngram_join._overlaps(sets)
+    for i, a in enumerate(sets):
+        assert [x for j, x in enumerate(got[i].tolist()) if j != i] == [len(np.intersect1d(a, b)) for j, b in enumerate(sets) if j != i]
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert result(ngram_join.similar_documents(docs)) == brute([(r.doc_id, r.text) for r in docs.collect()])
@@ -114,9 +153,9 @@ def test_empty_and_keep_one(spark):
     assert set(got) == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("sent", [2_000_000, 3])
+@pytest.mark.parametrize("sent", [8 << 20, 0])
 def test_keep_one_without_repeated_ids(spark, monkeypatch, sent):
-    monkeypatch.setattr(ngram_join, "SENT_IDS", sent)
+    monkeypatch.setattr(common, "SENT_BYTES", sent)
     rows = crowd(4) + [(900, None), (None, "a b c d e f"), (901, "A b c d e f"), (902, "")]
     got = [r.doc_id for r in ngram_join.keep_one(frame(spark, rows)).collect()]
     assert sorted(got, key=str) == sorted((r[0] for r in brute(rows) if r[0] == r[3] or r[1] == 0), key=str)
@@ -124,8 +163,6 @@ def test_keep_one_without_repeated_ids(spark, monkeypatch, sent):
 
 def test_word_hashes_by_chunks(monkeypatch):
     texts = pa.array(["ab CD  ef", "", None, " x\ty\x0b", "é zz", "long" * 50 + " b", "tail"])
-    import semclean.llm.common as common
-
     want, at = word_hashes(*text_bytes(texts))
     assert np.diff(at).tolist() == [3, 0, 0, 2, 2, 2, 1]
     monkeypatch.setattr(common, "_CHUNK", 16)

@@ -1,3 +1,4 @@
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -116,6 +117,55 @@ def brute_targets(sizes, weights=(5, 2, 1), most=3):
         full |= over
 
 
+def brute_mix(rows, most=3, packet=256, seed=17):
+    """(doc, epoch, packet, finish, words) served, by queues in plain Python."""
+    from hashlib import md5
+
+    queues, sizes = defaultdict(list), Counter()
+    for k, (i, text, source) in enumerate(rows):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+        sizes[source] += n
+        h = md5(f"{seed}:{'-' if i is None else i}:{md5((text or '').encode()).hexdigest()}".encode()).hexdigest()
+        queues[source].append((h, i is not None, i or 0, n, k))
+    target, packets = brute_targets(sizes, most=most), []
+    for source, queue in queues.items():
+        sent = 0
+        for epoch in range(most):
+            for *_, n, k in sorted(queue):
+                for at in range(0, n, packet):
+                    words = min(packet, n - at)
+                    if sent < target[source]:
+                        i = rows[k][0]
+                        packets.append(((sent + words) / target[source], i is not None, i or 0, source is not None, source or "", epoch, at // packet, k, words))
+                    sent += words
+    out, left = [], sum(sizes.values())
+    for finish, *_, epoch, at, k, words in sorted(packets):
+        if left > 0:
+            out.append((k, epoch, at, finish, min(words, left)))
+            left -= min(words, left)
+    return out, target
+
+
+MIXED = [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (3, "", None), (None, "q w", None), (None, "r w", None), (4, " \t\n", "z")] + [(i, "w " * 300 + str(i), "hot") for i in range(9, 40)] + [(41, "long " * 3000, "x"), (42, "u v " * 500, "y")]
+
+
+def test_mixing_against_queues(spark):
+    served, target = brute_mix(MIXED)
+    taken = Counter()
+    for k, _, _, _, words in served:
+        taken[k] += words
+    got = mixing.mix(docs(spark, MIXED)).collect()
+    want = Counter((i, len((t or "").split()), target[s], taken[k]) for k, (i, t, s) in enumerate(MIXED))
+    assert Counter((r.doc_id, r.size, target_of(r.target, target), r.taken) for r in got) == want
+    order = mixing.finish_times(docs(spark, MIXED)).collect()
+    assert [(r.doc_id, r.source, r.epoch, r.packet, r.words) for r in order] == [(MIXED[k][0], MIXED[k][2], e, p, w) for k, e, p, _, w in served]
+    assert [r.finish for r in order] == sorted(r.finish for r in order)
+
+
+def target_of(x, target):
+    return min(target.values(), key=lambda t: abs(t - x))
+
+
 def test_mixing(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = mixing.mix(table).collect()
@@ -130,34 +180,36 @@ def test_mixing(spark, sf_dir):
         assert r.target == pytest.approx(want[source[r.doc_id]])
         assert r.source_size == sizes[source[r.doc_id]]
     for s, t in taken.items():
-        assert abs(t - want[s]) <= 3
+        assert abs(t - want[s]) <= mixing.PACKET
+    assert sum(taken.values()) == sum(sizes.values())
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(table.repartition(3)).collect()))
 
 
-def test_mixing_edges(spark):
-    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (2, None, "x"), (3, "", None), (None, "q w", None), (4, " \t\n", "z")] + [(i, "w " * 300, "hot") for i in range(9, 40)]
-    got = mixing.mix(docs(spark, rows)).collect()
-    assert len(got) == len(rows)
-    assert {r.doc_id: r.size for r in got}[9] == 300
-    assert sum(r.taken for r in got) == pytest.approx(sum(r.size for r in got), abs=8)
+def test_mixing_of_no_rows(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
-    served = mixing.finish_times(docs(spark, rows)).collect()
-    assert sum(r.words for r in served) == sum(r.taken for r in got)
+    assert mixing.mixed_documents(docs(spark, [])).count() == 0
+    assert mixing.mix(docs(spark, [(1, None, "x"), (2, "", None)])).groupBy().sum("taken").first()[0] == 0
 
 
-def test_mixing_slices_agree(spark, monkeypatch):
-    rows = [(i, "w " * (i % 7), f"s{i % 3}") for i in range(300)]
+def test_mixing_slices_and_ranges_agree(spark, monkeypatch):
+    rows = [(i, "w " * (i % 700), f"s{i % 3}") for i in range(300)]
     whole = sorted(map(tuple, mixing.mix(docs(spark, rows)).collect()))
     monkeypatch.setattr(mixing, "SLICE_ROWS", 20)
+    monkeypatch.setattr(mixing, "RANGE_WORDS", 3000)
     assert sorted(map(tuple, mixing.mix(docs(spark, rows)).collect())) == whole
 
 
-def test_finish_times_of_a_huge_document(spark):
-    rows = [(i, "w " * 10, "a") for i in range(40)] + [(40, "w " * 400, "a")] + [(i, "w " * 7, "b") for i in range(41, 90)]
-    served = mixing.finish_times(docs(spark, rows)).collect()
-    target = {s: t for s, t in brute_targets(Counter({"a": 800, "b": 343})).items()}
-    sent = Counter()
-    for r in sorted(served, key=lambda r: (r.source, r.finish)):
-        sent[r.source] += r.words
-        assert r.finish == pytest.approx(min(1, sent[r.source] / target[r.source]), abs=1 / target[r.source])
-    assert [r.finish for r in served] == sorted(r.finish for r in served)
+def test_mixed_documents(spark):
+    from pyspark.sql import functions as F
+
+    rows = [r for r in MIXED if r[0] != 1]
+    table = docs(spark, rows).withColumn("__copy", F.lit("mine")).withColumn("__epochs", F.col("doc_id"))
+    served, _ = brute_mix(rows)
+    taken = Counter()
+    for k, _, _, _, words in served:
+        taken[k] += words
+    size = [len((t or "").split()) for _, t, _ in rows]
+    want = Counter({(i, t): int(taken[k] / size[k] + 0.5) for k, (i, t, _) in enumerate(rows) if size[k]})
+    got = mixing.mixed_documents(table)
+    assert got.columns == table.columns and {r["__copy"] for r in got.collect()} == {"mine"}
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == +want

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from semclean.llm import langid, line_dedup, mixing, ngram_join, packing
-from semclean.llm.common import materialize, release_scratch, scratch_owner
+from semclean.llm.common import release_scratch, scratch_owner
 from semclean.llm.tokenizer import tokenizer_path
 
 
@@ -63,12 +63,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix takes less than half of goes, one taken again is repeated as rows of its own.
     """
-    taken = mixing.mix(docs)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    counts = materialize(taken.select(F.col("doc_id").alias("__id"), copies.alias("__n")).groupBy("__id").agg(F.max("__n").alias("__n")).filter("__n > 0"), "copies")
-    wide = docs.join(counts, docs["doc_id"].eqNullSafe(counts["__id"]))
-    repeated = wide.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    return repeated.select(*[docs[c] for c in docs.columns])
+    return mixing.mixed_documents(docs)
 
 
 @_stage

@@ -1,17 +1,20 @@
 """Reversible line deduplication: sharded cuckoo filters over exact reference tables.
 
-An index folder holds
-  refs     one row per (line key, document): exact, so documents can be taken out again;
-  counts   one row per key: in how many documents it is and the largest ``doc_id`` holding it;
-  filters  one cuckoo filter per shard of the key space, with every counted key in it once.
+An index is a folder that only grows until it is compacted. Each insertion or deletion is a version with
+  refs     one row per (line key, document) that it brought: exact, so documents can be taken out again;
+  gone     the documents that it took out;
+  counts   for the keys that it touched, in how many documents they are and the largest ``doc_id`` of these;
+  filters  the cuckoo filters, one per shard of the key space, that it changed: every counted key is in once;
+  manifest what the versions so far hold, written last, so a version that failed half-way was never there.
 An insertion asks its shards' filters first: keys that no filter knows are new and skip the join with the
-counts; only the rest (known keys and a few false positives) meet the exact table. A deletion takes
-references away, recounts the keys concerned and deletes those without references from the filters.
+counts; only the rest (known keys and a few false positives) meet the exact table. A deletion recounts the
+keys of its documents and takes those without references out of the filters.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +23,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, sliced, text_bytes
+from .common import free_name, lean, materialize, scratch_path, sent, sliced, text_bytes
 
 #: Keys that one shard's filter should hold.
 SHARD_KEYS = 1_000_000
+#: Bytes of repeated keys, at 128 each, that may be held by every task.
+HOT_BYTES = 16 << 20
 
 
-_REFS = "k1 long, k2 long, doc_id long"
+_REFS = "k1 long, k2 long, doc_id long, th long"
+_COUNTS = "k1 long, k2 long, n_docs long, owner long"
 _KEYS = "shard int, k1 long, k2 long, n_docs long, owner long"
+_FILTERS = "shard int, blob binary"
 
 
 class CuckooFilter:
@@ -102,14 +109,22 @@ class CuckooFilter:
 
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> None:
         """Take out keys that are in; one fingerprint each."""
-        for m, a in zip(*self._keys(k1, k2), strict=True):
-            for b in (a, self._other(np.array([a]), np.array([m]))[0]):
-                hit = np.flatnonzero(self.table[b] == m)
-                if len(hit):
-                    last = int((self.table[b] != 0).sum()) - 1
-                    self.table[b, hit[0]] = self.table[b, last]
-                    self.table[b, last] = 0
-                    break
+        mark, at = self._keys(k1, k2)
+        while len(mark):
+            hit = self.table[at] == mark[:, None]
+            other = self._other(at, mark)
+            bucket = np.where(hit.any(1), at, other)
+            hit = self.table[bucket] == mark[:, None]
+            found = hit.any(1)
+            mark, at, bucket, slot = mark[found], at[found], bucket[found], hit[found].argmax(1)
+            # keys that want one slot take it in turn
+            _, one = np.unique(bucket * np.uint64(4) + slot.astype(np.uint64), return_index=True)
+            self.table[bucket[one], slot[one]] = 0
+            rows = self.table[bucket[one]]
+            self.table[bucket[one]] = np.take_along_axis(rows, np.argsort(rows == 0, axis=1, kind="stable"), 1)
+            left = np.ones(len(mark), bool)
+            left[one] = False
+            mark, at = mark[left], at[left]
 
 
 def line_key(line: bytes) -> bytes:
@@ -138,10 +153,11 @@ def _line_refs(least: int):
                 found.extend(map(digest, keys))
                 counts.append(len(keys))
             pair = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-            ids = batch.column(batch.schema.get_field_index("doc_id")).take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), ids], names=["k1", "k2", "doc_id"])
+            at = pa.array(np.repeat(np.arange(batch.num_rows), counts))
+            own = [batch.column(batch.schema.get_field_index(c)).take(at) for c in ("doc_id", "th")]
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), *own], names=["k1", "k2", "doc_id", "th"])
 
-    return run
+    return lean(run)
 
 
 def _shard_filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,25 +203,31 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(maybe)], names=["shard", "k1", "k2", "n_docs", "owner", "maybe"])
 
 
-def _drop_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    digest = xxhash.xxh3_128_digest
-    for batch in sliced(batches):
-        lists = batch.column(batch.schema.get_field_index("__gone")).to_pylist()
-        kept, n_lines, n_dropped = [], [], []
-        for text, gone in zip(_texts(batch), lists, strict=True):
-            lines = text.split(b"\n")
-            n_lines.append(len(lines))
-            if gone:
-                drop = {np.array([g["k1"], g["k2"]], "<i8").tobytes() for g in gone}
-                lines = [x for x in lines if digest(line_key(x)) not in drop]
-                kept.append(b"\n".join(lines))
-            else:
-                kept.append(text)
-            n_dropped.append(n_lines[-1] - len(lines))
-        rest = [batch.column(i) for i, c in enumerate(batch.schema.names) if c not in ("text", "__gone")]
-        names = [c for c in batch.schema.names if c not in ("text", "__gone")]
-        text = pa.array(kept, pa.binary()).cast(pa.string())
-        yield pa.RecordBatch.from_arrays([*rest, text, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=[*names, "text", "n_lines", "n_dropped"])
+def _dropper(columns: list[str], names: tuple[str, str], least: int, hot):
+    """Drop the lines whose key is in the broadcast ``hot`` (key to owner) unless the row is the owner's; without it, those listed in the last column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh3_128_digest
+        known = hot.value if hot is not None else {}
+        for batch in sliced(batches):
+            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            lists = [None] * len(ids) if hot is not None else batch.column(batch.num_columns - 1).to_pylist()
+            kept, n_lines, n_dropped = [], [], []
+            for text, doc_id, gone in zip(_texts(batch), ids, lists, strict=True):
+                lines = text.split(b"\n")
+                n_lines.append(len(lines))
+                if gone:
+                    drop = {np.array([g["k1"], g["k2"]], "<i8").tobytes() for g in gone}
+                    lines = [x for x in lines if digest(line_key(x)) not in drop]
+                elif known:
+                    lines = [x for x in lines if len(x) < least or known.get(digest(line_key(x)), doc_id) == doc_id]
+                kept.append(text if len(lines) == n_lines[-1] else b"\n".join(lines))
+                n_dropped.append(n_lines[-1] - len(lines))
+            made = {"text": pa.array(kept, pa.binary()).cast(pa.string()), names[0]: pa.array(n_lines, pa.int64()), names[1]: pa.array(n_dropped, pa.int64())}
+            cols = [made[c] if c in made else batch.column(batch.schema.get_field_index(c)) for c in [*columns, *names]]
+            yield pa.RecordBatch.from_arrays(cols, names=[*columns, *names])
+
+    return lean(run)
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,145 +238,206 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class LineIndex:
-    """An incremental, reversible index of lines in a shared folder.
+    """An incremental, reversible index of lines in a shared folder, opened again by its path.
 
     Every row inserted is a document: a repeated row counts again, a null text is one empty line, a null
     ``doc_id`` is a document that is never the largest unless all holders are null. Keys shorter than
-    ``min_chars`` code points are not indexed. Columns besides doc_id and text are ignored.
+    ``min_chars`` code points are not indexed. Columns besides doc_id and text are ignored; inserting or
+    deleting no rows changes nothing but the version. One writer at a time. An index opened again keeps the
+    parameters that it was made with.
     """
 
     def __init__(self, spark: SparkSession, path: str, min_chars: int = 40, min_docs: int = 5) -> None:
-        self.spark, self.path, self.min_chars, self.min_docs = spark, path, min_chars, min_docs
-        self.version, self.shards, self.batches = 0, 1, []
+        self.spark, self.path = spark, path.rstrip("/")
+        self.state = {"version": 0, "shards": 1, "keys": 0, "min_chars": min_chars, "min_docs": min_docs, "refs": [], "gone": [], "counts": [], "filters": []}
+        held = self._manifests()
+        if held:
+            row = spark.read.schema("state string").parquet(f"{self.path}/manifest-{max(held)}").first()
+            self.state = json.loads(row["state"])
+
+    def _manifests(self) -> list[int]:
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+        done = [n for n in found if n.startswith("manifest-") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return [int(n.rpartition("-")[2]) for n in done]
+
+    def _write(self, df: DataFrame, name: str, version: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}-{version}")
+
+    def _read(self, name: str, version: int, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}-{version}")
+
+    def _all(self, name: str, schema: str) -> DataFrame:
+        """The rows of all live versions of a table, with their ``v``."""
+        out = None
+        for v in self.state[name]:
+            part = self._read(name, v, schema).withColumn("v", F.lit(v))
+            out = part if out is None else out.unionByName(part)
+        return out if out is not None else self.spark.createDataFrame([], f"{schema}, v int")
 
-    def _read(self, name: str, schema: str) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+    def _commit(self, version: int, **changes: object) -> None:
+        state = {**self.state, **changes, "version": version}
+        self._write(self.spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1), "manifest", version)
+        self.state = state
 
     def counts(self) -> DataFrame:
-        """shard, k1, k2, n_docs, owner: the exact reference counts."""
-        return self._shard(self._read(f"counts-{self.version}", "k1 long, k2 long, n_docs long, owner long"))
+        """shard, k1, k2, n_docs, owner: the exact reference counts, of each key as its latest version says."""
+        if len(self.state["counts"]) == 1:
+            now = self._read("counts", self.state["counts"][0], _COUNTS)
+        else:
+            latest = self._all("counts", _COUNTS).groupBy("k1", "k2").agg(F.max_by(F.struct("n_docs", "owner"), "v").alias("x"))
+            now = latest.select("k1", "k2", "x.n_docs", "x.owner")
+        return self._shard(now.filter("n_docs > 0"))
 
     def filters(self) -> DataFrame:
-        return self._read(f"filters-{self.version}", "shard int, blob binary")
+        """(shard, blob) of the latest filter of each shard."""
+        if len(self.state["filters"]) == 1:
+            return self._read("filters", self.state["filters"][0], _FILTERS)
+        latest = self._all("filters", _FILTERS)
+        newest = latest.groupBy("shard").agg(F.max("v").alias("v"))
+        return latest.join(newest, ["shard", "v"]).select("shard", "blob")
 
     def refs(self) -> DataFrame:
-        out = None
-        for b in self.batches:
-            part = self._read(f"refs-{b}", _REFS)
-            out = part if out is None else out.unionByName(part)
-        return out
+        """(k1, k2, doc_id, th) of the documents that are in; ``th`` is a hash of the text."""
+        rows = self._all("refs", _REFS)
+        if self.state["gone"]:
+            gone = self._all("gone", "doc_id long")
+            rows = rows.alias("r").join(gone.alias("g"), F.expr("r.doc_id <=> g.doc_id and r.v < g.v"), "left_anti")
+        return rows.select("k1", "k2", "doc_id", "th")
 
     def _lines(self, docs: DataFrame) -> DataFrame:
-        return docs.select("doc_id", "text").mapInArrow(_line_refs(self.min_chars), "k1 long, k2 long, doc_id long")
+        return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(_line_refs(self.state["min_chars"]), _REFS)
 
     @staticmethod
     def _count(refs: DataFrame) -> DataFrame:
         return refs.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("owner"))
 
-    def _shard(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("shard", F.pmod(F.col("k1"), F.lit(self.shards)).cast("int"))
+    def _shard(self, df: DataFrame, shards: int | None = None) -> DataFrame:
+        return df.withColumn("shard", F.pmod(F.col("k1"), F.lit(shards or self.state["shards"])).cast("int"))
 
-    def _write_filters(self, changes: DataFrame | None, old: DataFrame | None, version: int) -> bool:
-        """``changes``: shard, k1, k2, action. False if a filter overflowed."""
+    def _write_filters(self, changes: DataFrame, old: DataFrame | None, version: int, shards: int) -> bool:
+        """``changes``: shard, k1, k2, action. Filters of shards without changes stay as they are. False if one overflowed."""
         rows = changes.select("shard", "k1", "k2", "action", F.lit(None).cast("binary").alias("blob"))
         if old is not None:
-            rows = rows.unionByName(old.select("shard", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("action"), "blob"))
-        path = f"filters-{version}"
-        rows.repartitionById(self.shards, F.col("shard")).mapInArrow(_shard_filters, "shard int, blob binary").write.parquet(f"{self.path}/{path}")
-        return old is None or not self._read(path, "shard int, blob binary").filter("blob is null").head(1)
+            touched = old.join(changes.select("shard").distinct(), "shard", "left_semi")
+            rows = rows.unionByName(touched.select("shard", F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"), F.lit(0).alias("action"), "blob"))
+        self._write(rows.repartitionById(shards, F.col("shard")).mapInArrow(_shard_filters, _FILTERS), "filters", version)
+        return old is None or not self._read("filters", version, _FILTERS).filter("blob is null").head(1)
 
     def insert(self, docs: DataFrame) -> None:
-        """Add documents' lines: refs, counts and filters."""
-        version = self.version + 1
-        self._lines(docs).write.parquet(f"{self.path}/refs-{version}")
-        added = self._count(self._read(f"refs-{version}", _REFS))
-        if not self.version:
-            added.write.parquet(f"{self.path}/counts-{version}")
-            self.version = version
-            self.shards = max(1, -(-self.counts().count() // SHARD_KEYS))
-            self._write_filters(self.counts().withColumn("action", F.lit(1)), None, version)
+        """Add documents' lines: refs, the counts of their keys, and filters."""
+        version, shards, first = self.state["version"] + 1, self.state["shards"], not self.state["counts"]
+        self._write(self._lines(docs), "refs", version)
+        added = self._count(self._read("refs", version, _REFS))
+        if first:
+            self._write(added, "counts", version)
+            keys = self._read("counts", version, _COUNTS).count()
         else:
             rows = self._shard(added).select("shard", "k1", "k2", "n_docs", "owner", F.lit(None).cast("binary").alias("blob"))
             zero = [F.lit(0).cast("long").alias(c) for c in ("k1", "k2", "n_docs", "owner")]
             rows = rows.unionByName(self.filters().select("shard", *zero, "blob"))
-            probed = rows.repartitionById(self.shards, F.col("shard")).mapInArrow(_probe, f"{_KEYS}, maybe boolean")
-            probed.write.parquet(f"{self.path}/added-{version}")
-            probed = self._read(f"added-{version}", f"{_KEYS}, maybe boolean")
-            old = self.counts()
-            maybe = probed.filter("maybe").alias("a")
-            same = F.expr("o.k1 = a.k1 and o.k2 = a.k2")
-            met = old.alias("o").join(maybe, same, "left")
-            grown = met.select("o.k1", "o.k2", (F.col("o.n_docs") + F.coalesce("a.n_docs", F.lit(0))).alias("n_docs"), F.greatest("o.owner", "a.owner").alias("owner"))
-            falsely = maybe.join(old.alias("o"), same, "left_anti").select("shard", "k1", "k2", "n_docs", "owner")
-            new = probed.filter("not maybe").drop("maybe").unionByName(falsely)
-            grown.unionByName(new.drop("shard")).write.parquet(f"{self.path}/counts-{version}")
-            fits = self._write_filters(new.withColumn("action", F.lit(1)), self.filters(), version)
-            self.version = version
-            if not fits:
-                self._rebuild(version)
-        self.batches.append(version)
-
-    def _rebuild(self, version: int) -> None:
-        """A filter ran full: make all anew from the counts, larger."""
-        path = f"{self.path}/filters-{version}"
-        rows = self.counts().select("shard", "k1", "k2", F.lit(1).alias("action"), F.lit(None).cast("binary").alias("blob"))
-        rows.repartitionById(self.shards, F.col("shard")).mapInArrow(_shard_filters, "shard int, blob binary").write.mode("overwrite").parquet(path)
+            probed = materialize(rows.repartitionById(shards, F.col("shard")).mapInArrow(_probe, f"{_KEYS}, maybe boolean"), "probed")
+            maybe, old = probed.filter("maybe").alias("a"), self.counts().alias("o")
+            met = maybe.join(old, F.expr("o.k1 = a.k1 and o.k2 = a.k2"), "left")
+            met = materialize(met.select("a.shard", "a.k1", "a.k2", (F.col("a.n_docs") + F.coalesce("o.n_docs", F.lit(0))).alias("n_docs"), F.greatest("a.owner", "o.owner").alias("owner"), F.col("o.k1").isNull().alias("new")), "met")
+            new = probed.filter("not maybe").select("shard", "k1", "k2").unionByName(met.filter("new").select("shard", "k1", "k2"))
+            self._write(probed.filter("not maybe").select("k1", "k2", "n_docs", "owner").unionByName(met.select("k1", "k2", "n_docs", "owner")), "counts", version)
+            keys = self.state["keys"] + new.count()
+        counts, filters = [*self.state["counts"], version], [*self.state["filters"], version]
+        before = self.state
+        self.state = {**before, "counts": counts}
+        try:
+            fits = not first and keys <= 2 * SHARD_KEYS * shards and self._write_filters(new.withColumn("action", F.lit(1)), self.filters(), version, shards)
+            if not fits:  # the first filters, more keys than the shards are meant for, or a filter that ran full
+                shards, filters = max(1, -(-keys // SHARD_KEYS)), [version]
+                self._write_filters(self._shard(self.counts(), shards).withColumn("action", F.lit(1)), None, version, shards)
+        finally:
+            self.state = before
+        self._commit(version, shards=shards, keys=keys, counts=counts, filters=filters, refs=[*self.state["refs"], version])
 
     def delete(self, docs: DataFrame) -> None:
-        """Take documents (rows inserted before, with their texts) out again."""
-        version = self.version + 1
-        gone = self._lines(docs)
-        ids = docs.select("doc_id").distinct().alias("g")
-        live = self.refs().alias("r").join(ids, F.expr("r.doc_id <=> g.doc_id"), "left_anti")
-        live.write.parquet(f"{self.path}/refs-d{version}")
-        self.batches = [f"d{version}"]
-        touched = self._shard(gone.select("k1", "k2").distinct())
-        left = self.refs().join(touched.select("k1", "k2"), ["k1", "k2"], "left_semi")
-        recount = self._count(left)
-        same = self.counts().join(touched.select("k1", "k2"), ["k1", "k2"], "left_anti").select("k1", "k2", "n_docs", "owner")
-        same.unionByName(recount).write.parquet(f"{self.path}/counts-{version}")
-        out = self.counts().join(touched.select("k1", "k2"), ["k1", "k2"], "left_semi").join(recount.select("k1", "k2"), ["k1", "k2"], "left_anti")
-        self._write_filters(out.select("shard", "k1", "k2", F.lit(-1).alias("action")), self.filters(), version)
-        self.version = version
-
-    def clean(self, docs: DataFrame) -> DataFrame:
-        """``docs`` (all of them inserted) without repeated lines: its columns, n_lines and n_dropped.
+        """Take documents (rows inserted before, with their texts) out again, by their ids."""
+        version, before = self.state["version"] + 1, self.state
+        self._write(docs.select("doc_id").distinct(), "gone", version)
+        touched = materialize(self._lines(docs).select("k1", "k2").distinct(), "touched")
+        known = self.counts().join(touched, ["k1", "k2"], "left_semi").select("k1", "k2")
+        gone = [*before["gone"], version]
+        self.state = {**before, "gone": gone}
+        try:
+            recount = self._count(self.refs().join(touched, ["k1", "k2"], "left_semi"))
+        finally:
+            self.state = before
+        zero = [F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "owner"]
+        self._write(known.join(recount, ["k1", "k2"], "left").select("k1", "k2", *zero), "counts", version)
+        out = self._shard(self._read("counts", version, _COUNTS).filter("n_docs = 0")).withColumn("action", F.lit(-1))
+        keys = before["keys"] - out.count()
+        self._write_filters(out, self.filters(), version, before["shards"])
+        self._commit(version, keys=keys, gone=gone, counts=[*before["counts"], version], filters=[*before["filters"], version])
+
+    def compact(self) -> None:
+        """Rewrite the live rows as one version; the folders of earlier ones can go."""
+        version = self.state["version"] + 1
+        self._write(self.refs(), "refs", version)
+        self._write(self.counts().select("k1", "k2", "n_docs", "owner"), "counts", version)
+        self._write(self.filters(), "filters", version)
+        self._commit(version, refs=[version], gone=[], counts=[version], filters=[version])
+
+    def clean(self, docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+        """``docs`` (all of them inserted) without repeated lines: its columns, then two counts under ``names``.
 
         A key in at least ``min_docs`` documents loses its lines in all but the largest ``doc_id``; other
-        lines stay, joined by a line feed. The repeated keys meet the references key by key, then each
-        document gets its own list; texts are shuffled once, to that list.
+        lines stay, joined by a line feed. A column of ``docs`` that is called like a count is replaced by
+        it. If the repeated keys are few in bytes they go to the tasks and texts stay where they are; else
+        they meet the references key by key, each document gets its own list, and texts are shuffled
+        once to that list, by id and text, so that neither a null nor a repeated id is one task's load.
         """
-        hot = self.counts().filter(F.col("n_docs") >= self.min_docs).select("k1", "k2", "owner")
-        drops = self.refs().join(hot, ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
-        lists = drops.groupBy(F.col("doc_id").alias("__gone_id")).agg(F.collect_set(F.struct("k1", "k2")).alias("__gone"))
-        wide = docs.join(lists, docs["doc_id"].eqNullSafe(lists["__gone_id"]), "left").drop("__gone_id")
-        kept = [f for f in docs.schema.fields if f.name != "text"]
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", text string, n_lines long, n_dropped long"
-        return wide.select(*[f"`{f.name}`" for f in kept], "text", "__gone").mapInArrow(_drop_lines, schema)
-
-
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """Index all of ``docs`` in the shared folder and return them without their repeated lines."""
+        hot = materialize(self.counts().filter(F.col("n_docs") >= self.state["min_docs"]).select("k1", "k2", "owner"), "repeated")
+        columns = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+        kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+        schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{n}` long" for n in names])
+        docs = docs.select(*[f"`{c}`" for c in columns])
+        most = HOT_BYTES // 128
+        few = hot.limit(most + 1).collect()
+        if len(few) <= most:
+            held = self.spark.sparkContext.broadcast({np.array([r.k1, r.k2], "<i8").tobytes(): r.owner for r in few})
+            return docs.mapInArrow(_dropper(columns, names, self.state["min_chars"], held), schema)
+        drops = self.refs().join(sent(hot, 40), ["k1", "k2"]).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
+        key, text_key, gone = (free_name(docs, x) for x in ("__id", "__th", "__gone"))
+        lists = drops.groupBy(F.col("doc_id").alias(key), F.col("th").alias(text_key)).agg(F.collect_set(F.struct("k1", "k2")).alias(gone))
+        wide = docs.join(lists, docs["doc_id"].eqNullSafe(lists[key]) & (F.xxhash64(docs["text"]) == lists[text_key]), "left")
+        return wide.select(*[docs[c] for c in columns], lists[gone]).mapInArrow(_dropper(columns, names, self.state["min_chars"], None), schema)
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, names: tuple[str, str] = ("n_lines", "n_dropped"), batches: int = 2) -> DataFrame:
+    """``docs`` without their repeated lines: its columns, then ``names``, lines before and lines dropped.
+
+    The documents are put into an index in the shared folder, in ``batches`` by a hash, as they would come
+    over time: each batch but the first asks the filters of those before it; the result doesn't depend on it.
+    Nulls, repeated rows, long and empty texts, clashing columns and empty tables are as in
+    :class:`LineIndex` and :meth:`LineIndex.clean`: a null text is one empty line and comes back empty.
+    """
     spark = docs.sparkSession
     index = LineIndex(spark, scratch_path(spark, "lines"), min_chars, min_docs)
-    index.insert(docs)
-    return index.clean(docs)
+    for i in range(batches):
+        index.insert(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
+    return index.clean(docs, names)
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_dropped and the SHA-256 of the kept text."""
+    """doc_id, n_lines, n_dropped and the SHA-256 of the kept text of every row; other columns are ignored, no rows give none."""
     cleaned = dedup_lines(docs.select("doc_id", "text")).select("doc_id", "text", "n_lines", "n_dropped")
     return cleaned.mapInArrow(_hashed, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 ORACLE = r"""
-with ls as (
-  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
-  from documents),
+with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+ls as (select r, doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from d),
 ks as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from ls),
-hot as (select k, max(doc_id) as owner from ks where length(k) >= 40 group by k having count(distinct doc_id) >= 5),
+hot as (select k, max(doc_id) as owner from ks where length(k) >= 40 group by k having count(distinct r) >= 5),
 marked as (select ks.*, hot.k is not null and ks.doc_id is distinct from hot.owner as gone from ks left join hot on ks.k = hot.k)
-select doc_id, count(*)::bigint as n_lines, (count(*) filter (where gone))::bigint as n_dropped,
+select any_value(doc_id) as doc_id, count(*)::bigint as n_lines, (count(*) filter (where gone))::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
-from marked group by doc_id
+from marked group by r
 """

@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from semclean.llm import line_dedup
 from semclean.llm.line_dedup import CuckooFilter, LineIndex
@@ -55,7 +56,68 @@ def test_whole_table(spark, sf_dir):
 
 def test_extra_columns_stay(spark):
     got = line_dedup.dedup_lines(frame(spark, ROWS).withColumnRenamed("gone", "k1"))
-    assert got.columns == ["doc_id", "k1", "owner", "text", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "k1", "owner", "n_lines", "n_dropped"]
+
+
+def test_clashing_columns(spark):
+    names = ["N_Lines", "__id", "__th", "__gone", "k1", "k2", "th", "shard", "n_docs"]
+    wide = frame(spark, ROWS).selectExpr("*", *[f"doc_id as `{c}`" for c in names], "'mine' as n_dropped")
+    got = line_dedup.dedup_lines(wide)
+    assert got.columns == [c for c in wide.columns if c.lower() not in ("n_lines", "n_dropped")] + ["n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped) for r in got.collect() if r.doc_id is not None) == sorted(r[:3] for r in brute(ROWS) if r[0] is not None)
+    other = line_dedup.dedup_lines(wide, names=("before", "less"))
+    assert other.columns == [*wide.columns, "before", "less"] and {r.n_dropped for r in other.collect()} == {"mine"}
+
+
+@pytest.mark.parametrize("batches", [1, 2, 3])
+def test_many_repeated_keys_are_joined(spark, monkeypatch, batches):
+    monkeypatch.setattr(line_dedup, "HOT_BYTES", 0)
+    want = brute(ROWS)
+    got = line_dedup.dedup_lines(frame(spark, ROWS), batches=batches).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.text.encode()).hexdigest()) for r in got), key=str) == want
+
+
+def test_sql_counts_rows_as_the_operator_does(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = [(7, LONG), (7, LONG), (7, LONG), (None, LONG), (3, LONG), (3, f"{LONG}\n{LONG}"), (4, None), (5, "")]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841
+    found = duckdb.sql(line_dedup.ORACLE).fetchall()
+    assert sorted(found, key=str) == brute(rows) == digests(line_dedup.line_digests(frame(spark, rows)))
+
+
+def test_index_is_opened_again_and_grows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    texts = [(i, "\n".join(f"line {j} that is long enough to be counted {'=' * 9}" for j in range(i, i + 6))) for i in range(60)]
+    path = str(tmp_path / "i")
+    LineIndex(spark, path, min_docs=4).insert(frame(spark, texts[:5]))
+    for part in (texts[5:8], texts[8:40], texts[40:]):
+        index = LineIndex(spark, path)
+        index.insert(frame(spark, part))
+    assert index.state["shards"] > 4 and index.state["min_docs"] == 4
+    LineIndex(spark, path).delete(frame(spark, texts[50:]))
+    LineIndex(spark, path).insert(frame(spark, texts[55:]))
+    live = texts[:50] + texts[55:]
+    for compacted in (False, True):
+        index = LineIndex(spark, path)
+        counts = index.counts().collect()
+        assert index.state["keys"] == len(counts) == len({x for _, t in live for x in t.split("\n")})
+        held = {r.shard: CuckooFilter.load(bytes(r.blob)) for r in index.filters().collect()}
+        assert all(held[r.shard].contains(np.array([r.k1]), np.array([r.k2])).all() for r in counts)
+        got = index.clean(frame(spark, live)).collect()
+        assert sorted((r.doc_id, r.n_dropped) for r in got) == sorted(r[::2] for r in brute(live, most=4))
+        if not compacted:
+            index.compact()
+
+
+def test_an_unfinished_version_was_never_there(spark, tmp_path):
+    path = str(tmp_path / "i")
+    LineIndex(spark, path).insert(frame(spark, ROWS[:9]))
+    spark.createDataFrame([(1, 2, 3, 4)], line_dedup._REFS).write.parquet(f"{path}/refs-2")
+    index = LineIndex(spark, path)
+    index.insert(frame(spark, ROWS[9:]))
+    assert digests(index.clean(frame(spark, ROWS)).selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256)")) == brute(ROWS)
 
 
 def test_insert_then_delete_is_as_if_never_inserted(spark, tmp_path):
@@ -86,6 +148,9 @@ def test_cuckoo_filter():
     other = rng.integers(-(2**63), 2**63, (2, 50_000))
     assert made.contains(*other).mean() < 0.001
     made.delete(k1[:2000], k2[:2000])
+    twice = CuckooFilter.of(np.array([5 << 7, 5 << 7]), np.array([9, 9]))
+    twice.delete(np.array([5 << 7]), np.array([9]))
+    assert twice.contains(np.array([5 << 7]), np.array([9])).all() and (twice.table != 0).sum() == 1
     assert made.contains(k1[2000:], k2[2000:]).all()
     assert made.contains(k1[:2000], k2[:2000]).mean() < 0.01
     again = CuckooFilter.load(made.dump())

@@ -91,7 +91,11 @@ def _wordless(texts: list[str]) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (hex of ``SAMPLES`` 16-bit marks, empty without words) of every row's whole text."""
+    """doc_id and fingerprint (hex of ``SAMPLES`` 16-bit marks) of every row's whole text.
+
+    A null, empty or blank text has an empty fingerprint; ids may be null or repeated; equal texts have equal
+    fingerprints; other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from .common import sliced

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_bytes, text_column
+from .common import lean, sliced, text_bytes, text_column
 
 WINDOW, OVERLAP = 256, 3
 WIDTHS = {2: 8, 3: 12, 4: 12}
@@ -178,7 +178,7 @@ def _predictor(net: ByteConvNet | None):
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(names), pa.array(scores)], names=[*keep, "lang_pred", "score"])
 
-    return run
+    return lean(run)
 
 
 def predict(docs: DataFrame, net: ByteConvNet | None) -> DataFrame:
@@ -201,9 +201,13 @@ def _marker(net: ByteConvNet | None, least: float):
             pred, score = got.column(0).to_pylist(), got.column(1).to_numpy()
             yield batch.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(pred, score, strict=True)]))
 
-    return run
+    return lean(run)
 
 
 def keep_identified(docs: DataFrame, net: ByteConvNet | None, least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and a score of ``least``."""
+    """The rows of ``docs``, all columns whatever their names, whose text has a language: not ``und``, and a score of ``least``.
+
+    Null, empty and letterless texts go; very long texts are read whole; repeated rows go or stay together;
+    ids don't matter; an empty table gives no rows.
+    """
     return docs.mapInArrow(_marker(net, least), docs.schema)

@@ -12,14 +12,16 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, sliced
+from .common import free_name, lean, materialize, sliced
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _MALE = r"Mr|Sir|Herr|Herrn|Señor|Sr|Monsieur|Don|г-н|господин|κύριος"
@@ -165,14 +167,28 @@ def permute(x: int, n: int, key: bytes, tweak: str) -> int:
 _SETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ", "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"]
 
 
+@lru_cache(maxsize=4096)
+def _kin(c: str) -> str:
+    """The letters, marks or numbers like ``c``, of no set above: those of its general category nearby."""
+    kind, block = unicodedata.category(c), ord(c) >> 8
+    near = range(block << 8, block + 1 << 8)
+    kin = "".join(x for x in map(chr, near) if unicodedata.category(x) == kind and not any(x in s for s in _SETS))
+    return kin if len(kin) > 1 else "".join(x for x in map(chr, range(0x100, 0x250)) if x.isalpha())
+
+
+def _set_of(c: str, sets: list[str]) -> str | None:
+    found = next((s for s in sets if c in s), None)
+    return _kin(c) if found is None and sets is _SETS and unicodedata.category(c)[0] in "LMN" and ord(c) > 127 else found
+
+
 def encipher(value: str, key: bytes, tweak: str, sets: list[str] | None = None, ok: Callable[[str], bool] | None = None) -> str:
-    """The value's characters permuted within their classes; others stay. With ``ok`` walked until it holds."""
+    """The value's letters and digits, of any script, permuted within their classes; others stay. With ``ok`` walked until it holds."""
     sets = sets or _SETS
-    classes = [next((s for s in sets if c in s), None) for c in value]
+    classes = [_set_of(c, sets) for c in value]
     n = 1
     for s in classes:
         n *= len(s) if s else 1
-    form = "".join(c if s is None else str(sets.index(s)) for c, s in zip(value, classes, strict=True))
+    form = "".join(c if s is None else str(sets.index(s)) if s in sets else s[0] for c, s in zip(value, classes, strict=True))
     x = 0
     for c, s in zip(value, classes, strict=True):
         if s:
@@ -246,6 +262,24 @@ def _email(value: str, key: bytes) -> str:
     return encipher(local, key, "local") + "@" + encipher(name, key, "domain") + "." + tld
 
 
+def _iban_sum(iban: str) -> int:
+    """The IBAN's remainder by 97: 1 if its check digits are right."""
+    turned = iban[4:] + iban[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97
+
+
+def _iban(value: str, key: bytes) -> str:
+    """Country and spaces stay; right check digits become the surrogate's own, wrong ones stay wrong."""
+    bare = value.replace(" ", "")
+    if _iban_sum(bare) == 1:
+        body = encipher(bare[4:], key, f"iban{bare[:2]}")
+        made = f"{bare[:2]}{98 - _iban_sum(bare[:2] + '00' + body):02d}{body}"
+    else:
+        made = bare[:2] + encipher(bare[2:], key, f"iban!{bare[:2]}", ok=lambda x: _iban_sum(bare[:2] + x) != 1)
+    it = iter(made)
+    return "".join(c if c == " " else next(it) for c in value)
+
+
 _SYLLABLES = {
     "latin": ["ba", "be", "bri", "ca", "da", "do", "el", "fa", "ga", "ha", "jo", "ka", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne", "ni", "no", "pa", "ra", "re", "ri", "ro", "sa", "se", "si", "ta", "te", "ti", "to", "va", "ve", "vi", "za"],
     "cyrillic": ["ба", "ва", "га", "да", "до", "за", "ка", "ла", "ле", "ли", "ма", "ми", "мо", "на", "не", "ни", "но", "па", "ра", "ри", "ро", "са", "се", "си", "та", "ти", "то", "фа"],
@@ -288,7 +322,8 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if attempt:
         key = hashlib.blake2b(str(attempt).encode(), key=key, digest_size=32).digest()
     if kind == "email":
-        return _email(value, key)
+        made = _email(value, key)
+        return made if made != value or not attempt else f"{encipher('a' * 12, key, value)}@{value.rpartition('@')[2]}"
     if kind == "card":
         return _card(value, key)
     if kind == "phone":
@@ -300,9 +335,11 @@ def surrogate(kind: str, value: str, key: bytes, attempt: int = 0) -> str:
     if kind == "secret" and re.fullmatch(r"[0-9a-f]+", value):
         return encipher(value, key, "hex", sets=_HEX)
     if kind == "iban":
-        return value[:2] + encipher(value[2:], key, "iban")
+        return _iban(value, key)
     if kind == "ipv6":
         return encipher(value.lower(), key, "ipv6", sets=_HEX)
+    if not any(_set_of(c, _SETS) for c in value):  # a secret of signs alone
+        return encipher("a" * len(value), key, f"{kind}|{value}")
     return encipher(value, key, kind)
 
 
@@ -398,42 +435,50 @@ def surrogates(values: DataFrame, key: bytes) -> DataFrame:
         now = materialize(kept.unionByName(again.mapInArrow(_assigner(key), schema)), "surrogates")
 
 
-def _replacer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches):
-        texts, lists = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "__found"))
-        out, counts = [], []
-        for text, found in zip(texts, lists, strict=True):
-            if not found:
-                out.append(text)
-                counts.append(0)
-                continue
-            to = {(f["kind"], f["value"]): f["surrogate"] for f in found}
-            spans, at, parts = detect(text, {v: k for k, v in to if is_name(k)}), 0, []
-            for begin, end, kind, value in spans:
-                parts += [text[at:begin], to[kind, value]]
-                at = end
-            out.append("".join(parts) + text[at:])
-            counts.append(len(spans))
-        keep = [c for c in batch.schema.names if c not in ("text", "__found")]
-        yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(out, pa.string()), pa.array(counts, pa.int64())], names=[*keep, "text", "n_entities"])
-
-
-def replace_entities(docs: DataFrame, key: bytes = b"set a secret key") -> DataFrame:
-    """``docs`` with surrogates in ``text``: its columns in order, then ``n_entities`` (spans replaced).
-
-    Reruns with one key agree, and one value has one surrogate in the whole corpus; a name that any document
-    has after a title is replaced in all of them, also where it is an ordinary word. A null text stays null
-    and an empty one empty; equal texts get equal results; rows keep their ids, null or repeated as they
-    are. Real values stay in the tables in the shared folder, never in the result. The texts are shuffled
-    once, to the lists of their own surrogates, by a 128-bit hash of the text.
+def _replacer(columns: list[str], found_column: str, count: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            texts, lists = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", found_column))
+            out, counts = [], []
+            for text, found in zip(texts, lists, strict=True):
+                if not found:
+                    out.append(text)
+                    counts.append(0)
+                    continue
+                to = {(f["kind"], f["value"]): f["surrogate"] for f in found}
+                spans, at, parts = detect(text, {v: k for k, v in to if is_name(k)}), 0, []
+                for begin, end, kind, value in spans:
+                    parts += [text[at:begin], to[kind, value]]
+                    at = end
+                out.append("".join(parts) + text[at:])
+                counts.append(len(spans))
+            made = {"text": pa.array(out, pa.string()), count: pa.array(counts, pa.int64())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else batch.column(batch.schema.get_field_index(c)) for c in [*columns, count]], names=[*columns, count])
+
+    return lean(run)
+
+
+def replace_entities(docs: DataFrame, key: bytes, count: str = "n_entities") -> DataFrame:
+    """``docs`` with surrogates in ``text``: its columns in order, then ``count`` (spans replaced).
+
+    Whoever has the key can undo most surrogates, so it is a secret of the caller's. Reruns with one key
+    agree, and one value has one surrogate in the whole corpus; a name that any document has after a title
+    is replaced in all of them, also where it is an ordinary word. A null text stays null and an empty one
+    empty; a very long one is read whole; equal texts get equal results; rows keep their ids, null or
+    repeated as they are; a column of ``docs`` that is called like ``count`` is replaced by it; an empty
+    table gives no rows. Real values stay in the tables in the shared folder, never in the result. The
+    texts are shuffled once, to the lists of their own surrogates, by a 128-bit hash of the text.
     """
+    if not key:
+        raise ValueError("a secret key is required")
+    columns = [c for c in docs.columns if c.lower() != count.lower()]
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    docs = docs.select(*[f"`{c}`" for c in columns])
     keys = [F.xxhash64("text").alias("__k1"), F.xxhash64(F.lit("pii"), "text").alias("__k2")]
     found = entities(docs.select(*keys, "text"))
     made = surrogates(found.select("kind", "value"), key)
-    lists = found.join(made, ["kind", "value"]).groupBy("k1", "k2").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("__found"))
-    wide = docs.select("*", *keys)
-    wide = wide.join(lists, (F.col("__k1") == lists["k1"]) & (F.col("__k2") == lists["k2"]), "left")
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "text string, n_entities long"])
-    done = wide.select(*[docs[f.name] for f in kept], docs["text"], lists["__found"]).mapInArrow(_replacer, schema)
-    return done.select(*docs.columns, "n_entities")
+    k1, k2, own = (free_name(docs, x) for x in ("__k1", "__k2", "__found"))
+    lists = found.join(made, ["kind", "value"]).groupBy(F.col("k1").alias(k1), F.col("k2").alias(k2)).agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias(own))
+    wide = docs.join(lists, (F.xxhash64(docs["text"]) == lists[k1]) & (F.xxhash64(F.lit("pii"), docs["text"]) == lists[k2]), "left")
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in columns] + [f"`{count}` long"])
+    return wide.select(*[docs[c] for c in columns], lists[own]).mapInArrow(_replacer(columns, own, count), schema)

@@ -10,6 +10,10 @@ from . import chat, embedding_dedup, fingerprint, langid, line_dedup, mixing, ng
 from .tokenizer import tokenizer_path
 
 
+#: The key of the query, which runs on made-up texts; real ones need a secret one.
+PII_KEY = b"op3 query on synthetic documents"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -23,7 +27,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.replace_entities(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

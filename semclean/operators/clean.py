@@ -19,7 +19,8 @@ def clean(df: DataFrame, target_col: str, instruction: str = INSTRUCTION, *, pro
 
     With the rules these are column expressions: no shuffle, streams too. A model is asked once per
     distinct value. Null and blank text gives nulls; without any text the frame comes back as it is. Names
-    that are taken get ``_right``. ``parallel`` and ``max_workers`` set the number of tasks that ask a model.
+    that are taken get ``_right``. The distinct values are asked about where their shuffle leaves them;
+    ``parallel`` spreads them over the session's parallelism, or over ``max_workers`` tasks.
     """
     require_column(df, target_col)
     require_positive(batch_size=batch_size)
@@ -37,5 +38,5 @@ def clean(df: DataFrame, target_col: str, instruction: str = INSTRUCTION, *, pro
         found = provider.clean_batch(items, instruction)
         return [None if (r := found.get(x)) is None else {"clean_value": float(r["value"]), "clean_unit": r["unit"], "clean_reasoning": r["reasoning"]} for x in items]
 
-    tasks = (max(1, max_workers) if max_workers is not None else df.sparkSession.sparkContext.defaultParallelism) if parallel else 1
+    tasks = (max(1, max_workers) if max_workers is not None else df.sparkSession.sparkContext.defaultParallelism) if parallel else None
     return dedup_map(df, target_col, answer, FIELDS, batch_size, tasks)

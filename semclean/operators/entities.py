@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import logging
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_column
 from ..functions.json_repair import parse
-from ..plans.dedup_map import BROADCAST_ROWS, distinct_values, persisted
+from ..plans.dedup_map import distinct_values, is_small, persisted
 from ..providers import Provider
 
+log = logging.getLogger(__name__)
+
 _SUFFIXES = r"(?i)[\s,]+(?:inc|incorporated|corp|corporation|co|company|ltd|limited|llc|gmbh|ag|sa|plc)\.?$"
 
 
@@ -100,6 +104,8 @@ def resolve_entities(df: DataFrame, target_col: str, *, threshold: float = 0.8,
         found = {k: v for k, v in (reply.get("mapping") or {}).items() if isinstance(v, str) and v.strip()}
         mapping = df.sparkSession.createDataFrame([(n, found.get(n, n)) for n in names], "value string, canonical string")
     side = mapping.select(F.col("value").alias("__value"), F.col("canonical").alias("__canonical"))
-    if side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    counts = mapping.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("canonical").alias("k")).first()
+    log.info("%s: %d distinct values under %d canonical names", target_col, counts["n"], counts["k"])
+    if is_small(side):
         side = F.broadcast(side)
     return df.join(side, text == F.col("__value"), "left").withColumn(name, F.coalesce("__canonical", text)).drop("__value", "__canonical")

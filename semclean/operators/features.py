@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,10 +34,23 @@ def crosses(columns: list[str]) -> dict[str, Column]:
     return out
 
 
+def _count_cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of a target and feature bins (-1: null) as counts (i, b, y, n), added up over a task."""
+    width, total = BINS + 1, {}
+    for frame in frames:
+        codes, values = pd.factorize(frame["y"], use_na_sentinel=False)
+        for i, name in enumerate(frame.columns[1:]):
+            count = np.bincount(codes * width + frame[name].to_numpy() + 1, minlength=width * len(values)).reshape(-1, width)
+            for k, b in zip(*np.nonzero(count), strict=True):
+                key = i, int(b) - 1, None if pd.isna(values[k]) else values[k]
+                total[key] = total.get(key, 0) + int(count[k, b])
+    yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["i", "b", "y", "n"])
+
+
 def mutual_information(df: DataFrame, target_col: str, features: dict[str, Column]) -> dict[str, float]:
     """Binned mutual information of each feature with the target, by one table of (feature, bin, bin) counts.
 
-    Bins are of equal width between the feature's extremes; a numeric target is binned likewise.
+    Arrow batches are counted feature by feature where the rows are; a task sends one row per count. Bins are of equal width between the feature's extremes; a numeric target is binned likewise.
     """
     numeric = target_col not in [f.name for f in df.schema if f.dataType.simpleString() in ("string", "boolean")]
     named = {f"f{i}": c for i, c in enumerate(features.values())}
@@ -45,11 +60,11 @@ def mutual_information(df: DataFrame, target_col: str, features: dict[str, Colum
     def binned(col: Column, lo: float | None, hi: float | None) -> Column:
         if lo is None or hi is None or not hi > lo:
             return F.lit(0)
-        return F.least(F.floor((col - lo) / ((hi - lo) / BINS)).cast("int"), F.lit(BINS - 1))
+        return F.when(col.isNotNull(), F.least(F.floor((col - lo) / ((hi - lo) / BINS)).cast("int"), F.lit(BINS - 1)))
 
     y = binned(F.col("y").cast("double"), float(spans["y0"]), float(spans["y1"])).cast("string") if numeric and spans["y0"] is not None else F.col("y").cast("string")
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), binned(F.col(n), spans[f"{n}0"], spans[f"{n}1"]).alias("b")) for i, n in enumerate(named)]))
-    counts = wide.select(y.alias("y"), cells.alias("c")).groupBy("c.i", "c.b", "y").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    cells = wide.select(y.alias("y"), *[F.coalesce(binned(F.col(n), spans[f"{n}0"], spans[f"{n}1"]), F.lit(-1)).alias(n) for n in named])
+    counts = cells.mapInPandas(_count_cells, "i int, b int, y string, n long").groupBy("i", "b", "y").agg(F.sum("n").cast("double").alias("n"))
     total = lambda *by: F.sum("n").over(Window.partitionBy("i", *by))
     terms = counts.select("i", "n", total().alias("t"), total("b").alias("x"), total("y").alias("z"))
     rows = terms.groupBy("i").agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("x") * F.col("z")))).alias("mi")).collect()

@@ -22,7 +22,7 @@ def resampled(df: DataFrame, target_col: str, target_value: Any, n: int, seed: i
     """Up to ``n`` new rows whose columns are drawn from minority rows one by one, by hashes; none copies a row of ``df``.
 
     Minority rows are numbered by a hash order; a new row takes its columns from rows that a hash of its
-    number and the column's name picks. Numbers are looked up by joins, nothing is collected.
+    number and the column's name picks. All picks are looked up by one join, nothing is collected.
     """
     minority = df.filter(F.col(target_col) == F.lit(target_value))
     m = minority.count()
@@ -31,11 +31,11 @@ def resampled(df: DataFrame, target_col: str, target_value: Any, n: int, seed: i
     from ..plans.sampling import ranked
 
     rows, _ = ranked(minority, [F.xxhash64(F.lit(seed), *df.columns), *[F.col(c) for c in df.columns]])
-    out = df.sparkSession.range(n * ROUNDS).withColumnRenamed("id", "__i")
-    for c in df.columns:
-        draw = out.withColumn("__pick", F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "__i"), F.lit(m)))
-        out = draw.join(rows.select(F.col("__rank").alias("__r"), F.col(c).alias(f"__v_{c}")), F.col("__pick") == F.col("__r")).drop("__pick", "__r")
-    made = out.select("__i", *[F.col(f"__v_{c}").alias(c) for c in df.columns]).withColumn("__key", row_key(df.columns))
+    draws = [F.struct(F.lit(k).alias("k"), F.pmod(F.xxhash64(F.lit(seed), F.lit(c), "id"), F.lit(m)).alias("pick")) for k, c in enumerate(df.columns)]
+    picks = df.sparkSession.range(n * ROUNDS).select(F.col("id").alias("__i"), F.explode(F.array(*draws)).alias("d")).select("__i", "d.k", "d.pick")
+    met = picks.alias("p").join(rows.select("__rank", F.struct(*[F.col(c) for c in df.columns]).alias("__row")), F.expr("p.pick = __rank"))
+    values = [F.first(F.when(F.col("p.k") == k, F.col("__row")[c]), ignorenulls=True).alias(c) for k, c in enumerate(df.columns)]
+    made = met.groupBy(F.col("p.__i").alias("__i")).agg(*values).withColumn("__key", row_key(df.columns))
     first = made.groupBy("__key").agg(F.min("__i").alias("__i"))
     new = made.join(first, ["__key", "__i"]).join(df.select(row_key(df.columns).alias("__key")), "__key", "left_anti")
     return new.orderBy("__i").limit(n).select(*df.columns)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,6 +54,8 @@ def scrub(data: DataFrame | str, strategies: list[str] | None = None, mode: str
         raise ValueError("target_col required for DataFrame input")
     require_column(data, target_col)
     text = F.col(target_col).cast("string")
+    if provider is None and set(strategies) & pii.MODEL_STRATEGIES:
+        warnings.warn(f"{sorted(set(strategies) & pii.MODEL_STRATEGIES)} need a provider; without one they stay in place", stacklevel=2)
     if provider is None or provider.deterministic or not set(strategies) & pii.MODEL_STRATEGIES:
         return data.withColumn(target_col, F.coalesce(pii.scrubbed(text, strategies, mode, locale), text))
 

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import not_blank
 
-#: A mapping of at most so many rows is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 200_000
+#: A mapping of at most so many rows and bytes is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 _LOCAL: dict[str, str] = {}
 
@@ -24,9 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _LOCAL.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="semclean-"))
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="semclean-")
+    return _LOCAL[spark.sparkContext.applicationId]
 
 
 def persisted(df: DataFrame, name: str) -> DataFrame:
@@ -66,13 +69,26 @@ def map_values(values: DataFrame, fn: Callable[[list[str]], list[dict | None]],
     return values.mapInPandas(run, schema)
 
 
+def is_small(mapping: DataFrame) -> bool:
+    """Whether the rows, and their values as JSON, are few enough to broadcast."""
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*mapping.columns)))), F.lit(0))
+    row = mapping.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), size.alias("bytes")).first()
+    return row["n"] <= BROADCAST_ROWS and row["bytes"] <= BROADCAST_BYTES
+
+
 def join_back(df: DataFrame, column: str, mapping: DataFrame, prefix: str = "") -> DataFrame:
-    """Left join of ``mapping(value, ...)`` on the column's text; a name that ``df`` has gets ``_right``."""
+    """Left join of ``mapping(value, ...)`` on the column's text; a name that ``df`` has gets ``_right``.
+
+    Null and blank texts have no answer: in a join by shuffle they stay spread, by the partition they come from.
+    """
     named = {c: c + "_right" if c in df.columns else c for c in mapping.columns if c != "value"}
     side = mapping.select(F.col("value").alias("__value"), *[F.col(c).alias(prefix + n) for c, n in named.items()])
-    if mapping.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        side = F.broadcast(side)
-    return df.join(side, F.col(column).cast("string") == F.col("__value"), "left").drop("__value")
+    text = F.col(column).cast("string")
+    if is_small(mapping):
+        return df.join(F.broadcast(side), text == F.col("__value"), "left").drop("__value")
+    spread = df.withColumn("__salt", F.when(not_blank(text), F.lit(0)).otherwise(F.spark_partition_id() + 1))
+    side = side.withColumn("__zero", F.lit(0))
+    return spread.join(side, (text == F.col("__value")) & (F.col("__salt") == F.col("__zero")), "left").drop("__value", "__salt", "__zero")
 
 
 def dedup_map(df: DataFrame, column: str, fn: Callable[[list[str]], list[dict | None]], fields: T.StructType, batch_size: int = 50, tasks: int | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ are computed without one global window: rows are range-sorted into partitions, p
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import not_blank, require_positive
@@ -35,13 +35,28 @@ def _strides(rows: DataFrame, total: int, n: int) -> DataFrame:
 
 
 def strided_rows(df: DataFrame, n: int, order_by: list[str] | None = None) -> DataFrame:
-    """All rows if there are at most ``n``, else those at ``floor(i * rows / n)`` in the order."""
+    """All rows if there are at most ``n``, else those at ``floor(i * rows / n)`` in the order; ties by all columns.
+
+    With ``order_by`` only those columns are sorted and ranked; the rows with the sampled keys are fetched after.
+    """
     require_positive(n=n)
     if len(df.limit(n + 1).collect()) <= n:
         return df
-    order = [F.col(c) for c in order_by or df.columns]
-    rows, total = ranked(df, order)
-    return _strides(rows, total, n)
+    if not order_by or set(order_by) == set(df.columns):
+        rows, total = ranked(df, [F.col(c) for c in order_by or df.columns])
+        return _strides(rows, total, n)
+    keys, total = ranked(df.select(*order_by), [F.col(c) for c in order_by])
+    want = sorted({int(i * (total / n)) for i in range(n)})
+    at = [F.col(c).alias(f"__k{i}") for i, c in enumerate(order_by)]
+    picked = keys.filter(F.col("__rank").isin(want)).select(*at, F.col("__rank").alias("__want"))
+    same = lambda left: [left[c].eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(order_by)]
+    names = [f"__k{i}" for i in range(len(order_by))]
+    first = keys.join(F.broadcast(picked.select(*names).distinct()), same(keys), "left_semi").groupBy(*order_by).agg(F.min("__rank").alias("__first"))
+    fetched = df.join(F.broadcast(picked.select(*names).distinct()), same(df), "left_semi")
+    place = F.row_number().over(Window.partitionBy(*order_by).orderBy(*df.columns)) - 1
+    placed = fetched.withColumn("__place", place).join(F.broadcast(first.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(order_by)], "__first")), same(fetched))
+    found = placed.withColumn("__rank", F.col("__first") + F.col("__place")).filter(F.col("__rank").isin(want))
+    return found.orderBy("__rank").select(*df.columns)
 
 
 def length_stratified(df: DataFrame, column: str, n: int, always_sorted: bool = False) -> list[str]:

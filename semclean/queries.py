@@ -18,11 +18,11 @@ from .operators.extract import extract, extract_compiled
 from .operators.features import crosses, discover_features
 from .operators.optimize import score_candidates
 from .operators.oversample import oversample
-from .operators.quality import flag_rows, quality_summary
+from .operators.quality import flag_rows, quality_summary, validate_quality
 from .operators.scrub import detected, scrub
 from .operators.shred import Relational, shred_to_relations
 from .plans.dedup_map import shared_folder
-from .plans.sampling import length_stratified, ranked, strided_rows
+from .plans.sampling import length_stratified, null_rows, ranked, strided_rows
 from .providers import RuleProvider
 from .sources.cache import temporary_cache
 
@@ -320,6 +320,33 @@ def strided_sample(spark, sf_dir):
     return strided_rows(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 20, ["o_totalprice", "o_orderkey"])
 
 
+@query(
+    "select count(*)::bigint as total_rows, (count(*) filter (where o_totalprice > 100000 and o_orderpriority <> '5-LOW'))::bigint as passed_rows, "
+    "round((count(*) filter (where o_totalprice > 100000 and o_orderpriority <> '5-LOW'))::double / count(*), 4) as compliance_rate, "
+    "(count(*) filter (where not o_totalprice > 100000))::bigint as price_failures from ("
+    + _STRIDE.format(cols="*", order="o_orderkey", source="orders", k=60)
+    + ")"
+)
+def quality_sample(spark, sf_dir):
+    """The report over a strided sample, with its failures."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    found = validate_quality(rows, {"price": "o_totalprice > 100000", "priority": "o_orderpriority <> '5-LOW'"}, sample_size=60, order_by=["o_orderkey"])
+    price = sum("price" in f["reasoning"].split("; ") for f in found["failures"])
+    return spark.createDataFrame([(found["total_rows"], found["passed_rows"], found["compliance_rate"], price)], "total_rows long, passed_rows long, compliance_rate double, price_failures long")
+
+
+@query("select o_orderkey, o_totalprice, o_custkey from (" + _STRIDE.format(cols="o_orderkey, o_totalprice, o_custkey", order="o_custkey, o_custkey, o_orderkey, o_totalprice", source="orders", k=40) + ")")
+def strided_ties(spark, sf_dir):
+    """An order with ties, which all columns break in turn."""
+    return strided_rows(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), 40, ["o_custkey"])
+
+
+@query("select o_orderkey, o_orderpriority from orders where o_orderstatus = 'P'")
+def missing_rows(spark, sf_dir):
+    rows = _gappy(spark, sf_dir)
+    return null_rows(rows, "price", rows.count() + 1).select("o_orderkey", "o_orderpriority")
+
+
 @query("select url from (" + _STRIDE.format(cols="url", order="length(url), url", source="(select distinct url from pages)", k=50) + ")")
 def length_sample(spark, sf_dir):
     found = length_stratified(table(spark, sf_dir, "pages"), "url", 50)
@@ -367,9 +394,14 @@ def eval_exact_match(spark, sf_dir):
     return evaluate.summarize(scored).select("cases", F.round("mean_score", 6).alias("mean_score"), F.round("pass_rate", 6).alias("pass_rate"))
 
 
-@query("select doc_id, 1.0::double as recall from documents")
+@query(
+    f"""with m as (select doc_id, regexp_replace(text, '{EMAIL_SQL}', '[EMAIL]', 'g') as masked, list_append(regexp_extract_all(text, '{EMAIL_SQL}'), left(text, 4)) as tokens from documents)
+    select doc_id, len(list_filter(tokens, lambda x: not contains(masked, x)))::double / len(tokens) as recall from m"""
+)
 def eval_masking_recall(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.regexp_extract_all("text", F.lit("(?U)" + pii.EMAIL), F.lit(0)).alias("tokens"))
+    """The emails of a text, which go, and its first characters, which stay."""
+    tokens = F.array_append(F.regexp_extract_all("text", F.lit("(?U)" + pii.EMAIL), F.lit(0)), F.substring("text", 1, 4))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", tokens.alias("tokens"))
     return scrub(docs, ["email"], target_col="text").select("doc_id", evaluate.masking_recall_col(F.col("text"), F.col("tokens")).alias("recall"))
 
 

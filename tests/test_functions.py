@@ -104,3 +104,36 @@ def test_code_key_ignores_order():
     a = code_key(["x", "y"], ["int", "string"], "x", "features")
     assert a == code_key(["y", "x"], ["string", "int"], "x", "features") != code_key(["x"], ["int"], "x", "features")
     assert len(a) == 64
+
+
+def test_phones_are_found_as_by_plain_search():
+    import random
+    import re
+
+    rng = random.Random(4)
+    for _ in range(300):
+        text = "".join(rng.choice(["+1 (98", "12", "555", "-", " ", "(", ")", "a", "+", "0", "84912345678", "\u0663", "02079460000"]) for _ in range(rng.randrange(25)))
+        assert [(e.start, e.end) for e in pii.detect_phone(text)] == [m.span() for m in re.finditer(pii.PHONE, text)], text
+
+
+def test_overlaps_as_by_comparing_all():
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        found = [pii.Entity("x", "v", a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(12))]
+        kept = []
+        for e in sorted(found, key=lambda e: (e.start - e.end, e.start)):
+            if all(e.end <= k.start or k.end <= e.start for k in kept):
+                kept.append(e)
+        assert pii.resolve_overlaps(found) == sorted(kept, key=lambda e: e.start)
+
+
+def test_columns_mask_as_texts_do(spark):
+    from pyspark.sql import functions as F
+
+    texts = [None, "", " ", "no sign at all", "a.b@c.org and 4111 1111 1111 1111", "call +1 (988) 555-2485", "::1 or 10.0.0.1", "\u0663\u0664\u0665\u0666\u0667\u0668\u0669", "x@y"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for strategies in (["email"], ["credit_card"], ["phone"], ["ip_address"], ["email", "phone", "credit_card", "ip_address"], ["person"]):
+        got = [r[0] for r in rows.select(F.coalesce(pii.scrubbed(F.col("t"), strategies), "t")).collect()]
+        assert got == [t if t is None else pii.replace_entities(t, pii.detect(t, strategies)) for t in texts], strategies

@@ -317,3 +317,40 @@ def test_samples(spark):
     few = spark.createDataFrame([("aaa",), ("b",), (None,), (" ",), ("cc",)], "v string")
     assert length_stratified(few, "v", 9, always_sorted=True) == ["b", "cc", "aaa"]
     assert [r.v for r in strided_rows(df, 4, ["v"]).collect()] == ["val_000", "val_050", "val_100", "val_150"]
+
+
+def test_join_by_shuffle_spreads_blank_texts(spark, monkeypatch):
+    from semclean.plans import dedup_map
+
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else " " if i % 3 == 1 else f"{i} kg") for i in range(60)], "i int, t string").repartition(4)
+    mapping = spark.createDataFrame([(f"{i} kg", float(i)) for i in range(60)], "value string, made double")
+    sent = sorted(map(tuple, dedup_map.join_back(rows, "t", mapping).collect()))
+    monkeypatch.setattr(dedup_map, "BROADCAST_BYTES", 0)
+    joined = dedup_map.join_back(rows, "t", mapping)
+    assert sorted(map(tuple, joined.collect())) == sent and joined.columns == ["i", "t", "made"]
+    assert {i: v for i, _, v in sent} == {i: float(i) if i % 3 == 2 else None for i in range(60)}
+
+
+def test_strided_rows_with_ties_and_nulls(spark):
+    from semclean.plans.sampling import strided_rows
+
+    data = [(None if i % 7 == 0 else i % 5, i) for i in range(83)]
+    got = [tuple(r) for r in strided_rows(spark.createDataFrame(data, "k int, i int"), 9, ["k"]).collect()]
+    order = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == [order[int(i * (83 / 9))] for i in range(9)]
+
+
+def test_mutual_information_against_counting(spark):
+    import math
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from semclean.operators.features import mutual_information
+
+    data = [(float(i % 13) if i % 11 else None, "abc"[i % 3] if i % 17 else None) for i in range(400)]
+    got = mutual_information(spark.createDataFrame(data, "x double, y string").repartition(3), "y", {"x": F.col("x")})
+    bins = [(None if x is None else min(int(x / 1.2), 9), y) for x, y in data]
+    both, left, right = Counter(bins), Counter(b for b, _ in bins), Counter(y for _, y in bins)
+    want = sum(n / 400 * math.log(n * 400 / (left[b] * right[y])) for (b, y), n in both.items())
+    assert abs(got["x"] - want) < 1e-9

@@ -140,6 +140,26 @@ def test_embedding_recall(spark):
     assert sum(found.values()) >= 0.95 * sum(links.values()) > 100
 
 
+def test_embedding_recall_with_many_lists(spark, monkeypatch):
+    """600 lists, 16 of them searched: pairs at a cosine of about 0.91 are all near the threshold."""
+    monkeypatch.setattr(embedding_dedup, "PER_LIST", 10)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(4000, 64))
+    noise = rng.normal(size=(2000, 64))
+    near = base[:2000] + noise / np.linalg.norm(noise, axis=1)[:, None] * np.linalg.norm(base[:2000], axis=1)[:, None] * 0.44
+    everything = np.float32(np.concatenate([base, near]))
+    unit = everything.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = (unit @ unit.T >= 0.9).sum(1) - 1
+    made = []
+    train = embedding_dedup.train
+    monkeypatch.setattr(embedding_dedup, "train", lambda *a: made.append(train(*a)) or made[-1])
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(everything)]
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors(spark, rows)).collect()}
+    assert len(made[0].centres) == 600
+    assert all(got[i] <= n for i, n in enumerate(want)) and sum(got.values()) >= 0.9 * want.sum() > 1000
+
+
 def test_hot_list_is_cut(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 7)
     rng = np.random.default_rng(2)
@@ -179,6 +199,33 @@ def test_language_edges(spark):
     assert langid.predict(docs.limit(0), net).count() == 0
 
 
+def plain_prediction(net, text):
+    """The network written out: windows, convolutions one position after another, maxima, softmax, weighted mean."""
+    data = text.encode().lower() if text.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    step, total, weights = 253, 0, 0
+    for at in range(0, max(1, len(data) - 3), step):
+        window = data[at : at + 256].ljust(256, b" ")
+        top = np.full(len(net.bias), -np.inf)
+        for p in range(253):
+            top = np.maximum(top, sum(net.table[k][window[p + k]].astype(float) for k in range(4)))
+        score = np.maximum(top + net.bias, 0) @ net.out + net.shift
+        logp = score - score.max() - np.log(np.exp(score - score.max()).sum())
+        weight = step if at + step < max(1, len(data) - 3) else max(1, len(data) - at)
+        total, weights = total + weight * logp, weights + weight
+    soft = np.exp(total / weights - (total / weights).max())
+    return net.labels[int(soft.argmax())], float(soft.max() / soft.sum())
+
+
+def test_prediction_against_the_network_written_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = langid.train(docs)
+    got = {r.doc_id: r for r in langid.predict(docs, net).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and any(c.isalpha() for c in r.text) and len(r.text) < 4000}
+    for i in sorted(texts)[:40]:
+        label, score = plain_prediction(net, texts[i])
+        assert got[i].lang_pred == label and abs(got[i].score - score) < 1e-3
+
+
 def test_windows_cover_the_text():
     for n in (0, 1, 3, 4, 255, 256, 257, 509, 510, 5000):
         text = np.arange(n, dtype=np.uint8) % 251

@@ -80,7 +80,7 @@ def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int,
     return segments
 
 
-def _cutter(path: str, end_id: int, capacity: int):
+def _cutter(path: str, end_id: int, capacity: int, release: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -102,7 +102,8 @@ def _cutter(path: str, end_id: int, capacity: int):
             cols = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", "unit", "rank_in_unit"])
-        pieces.forget()
+        if release:
+            pieces.forget()
 
     return lean(run)
 
@@ -127,19 +128,20 @@ def _placer(segments: list[tuple]):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: int = 4096, release: bool = False) -> DataFrame:
     """Cut ``docs(doc_id, text, ...)`` into pieces of at most ``capacity`` tokens and place them in sequences.
 
     Returns doc_id, piece, start, length, ids_crc32, sequence_id, offset, one row per piece. Only documents
     longer than ``capacity`` are cut; a sequence's pieces follow one another without gaps from 0. Null
     text is empty (only the end token); a null or repeated ``doc_id`` is packed row by row; other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. With ``release`` a task's end empties its worker's token cache,
+    for callers whose workers go on to other work; the next task learns its pieces anew.
 
     Texts are encoded where they are read and never shuffled. The pieces' table is written, so ranks
     within a (task, length) stay as they are; ranks over all tasks need only one count per task and
     length. The driver gets one count per length: at most ``capacity`` rows.
     """
-    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer_file, end_id, capacity), PIECES), "pieces")
+    pieces = materialize(docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer_file, end_id, capacity, release), PIECES), "pieces")
     from pyspark.sql import Window
 
     counts = pieces.groupBy("length", "unit").agg(F.count(F.lit(1)).alias("n"))

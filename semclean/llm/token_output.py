@@ -54,7 +54,6 @@ def _encoder(path: str, end_id: int | None):
                 [batch.column(batch.schema.get_field_index("doc_id")), pa.array(parts), pa.array(rows), pa.array(starts), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), values)],
                 names=["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"],
             )
-        pieces.forget()
 
     return lean(run)
 

@@ -18,7 +18,7 @@ _UNSAFE = re.compile(f"[^{_L}0-9 \\t\\n\\r{_P}]")
 _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \\t\\n\\r{_L}0-9]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
 _WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^ \\t\\n\\r{_L}0-9]+")
 
-#: Pieces of a generation of a task's cache; there are two. Longer pieces than ``CACHE_CHARS`` are forgotten after
+#: Pieces of a generation of a worker's cache; there are two. Longer pieces than ``CACHE_CHARS`` are forgotten after
 #: their batch, so a generation holds some 20 MB at most. Neither changes results.
 CACHE_ENTRIES, CACHE_CHARS = 90_000, 64
 #: Pieces that one call of the library encodes.
@@ -87,7 +87,7 @@ class PieceTokenizer:
         return out
 
     def forget(self) -> None:
-        """Give the cache's memory back; for the end of a task, since workers go on to other work."""
+        """Give the cache's memory back; for workers that go on to other work."""
         self.cache, self.older = {}, {}
 
     def encode(self, text: str) -> bytes:

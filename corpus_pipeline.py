@@ -88,7 +88,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts are empty, null and repeated ids are packed row by row, long texts are cut into pieces, other
     columns are ignored, no rows give none.
     """
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), 1)
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), 1, release=True)
 
 
 STAGES = [("language_id", identify), ("line_dedup", drop_lines), ("ngram_join", one_of_each), ("mixing", mix), ("packing", pack)]

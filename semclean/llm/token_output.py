@@ -30,15 +30,18 @@ WRITE_OPTIONS = {
     "parquet.page.size": str(128 << 10),
     "parquet.page.row.count.limit": "2000",
 }
+#: Pieces of a generation of a worker's token cache here, where nothing else needs much room.
+CACHED_PIECES = 200_000
 _SCHEMA = "doc_id long, part int, row_in_part long, start_in_part long, n_tokens long, ids array<int>"
 
 
 def _encoder(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = tokenizer(path)
+        pieces.entries = CACHED_PIECES
         tail = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
         part, row, start = -1, 0, 0
-        for batch in sliced(batches, most=1 << 20):
+        for batch in sliced(batches, most=2 << 20):
             ids = [x + tail for x in pieces.encode_all(text_column(batch))]
             lengths = np.array([len(x) // 4 for x in ids], np.int64)
             parts = batch.column(batch.schema.get_field_index("part")).to_numpy()

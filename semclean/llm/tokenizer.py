@@ -49,6 +49,7 @@ class PieceTokenizer:
         kind = (spec.get("pre_tokenizer") or {}).get("type")
         self.pattern, self.lower = (_BYTE_LEVEL, False) if kind == "ByteLevel" else (_WORD_LEVEL, True) if specials and spec.get("normalizer") else (None, False)
         self._np = np
+        self.entries = CACHE_ENTRIES
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -77,7 +78,7 @@ class PieceTokenizer:
         if self.pattern is None:
             return [self.whole(t) for t in texts]
         split = [None if _UNSAFE.search(t) or any(s in t for s in self.specials) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
-        if len(self.cache) > CACHE_ENTRIES:
+        if len(self.cache) > self.entries:
             self.older, self.cache = self.cache, {}
         self._learn({piece for pieces in split if pieces for piece in pieces})
         get = self.cache.__getitem__

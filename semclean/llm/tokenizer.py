@@ -15,6 +15,9 @@ from functools import lru_cache
 _L = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _P = "!-/:-@\\[-`{-~¡§«¶·»¿‐-‧"
 _UNSAFE = re.compile(f"[^{_L}0-9 \\t\\n\\r{_P}]")
+#: The letters that are still in that set when lowered: the small form of some capitals (Ə, Ɔ, Ⱥ) is beyond it.
+_LOWERED = "".join(c for c in map(chr, range(0x250)) if re.match(f"[{_L}]", c) and re.match(f"[{_L}]", c.lower()))
+_UNSAFE_LOWERED = re.compile(f"[^{_LOWERED}0-9 \\t\\n\\r{_P}]")
 _BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \\t\\n\\r{_L}0-9]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
 _WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^ \\t\\n\\r{_L}0-9]+")
 
@@ -48,6 +51,7 @@ class PieceTokenizer:
         self.specials = specials
         kind = (spec.get("pre_tokenizer") or {}).get("type")
         self.pattern, self.lower = (_BYTE_LEVEL, False) if kind == "ByteLevel" else (_WORD_LEVEL, True) if specials and spec.get("normalizer") else (None, False)
+        self.unsafe = _UNSAFE_LOWERED if self.lower else _UNSAFE
         self._np = np
         self.entries = CACHE_ENTRIES
         self.cache: dict[str, bytes] = {}
@@ -77,7 +81,7 @@ class PieceTokenizer:
         """The ids of each text; all pieces new to the cache are encoded together."""
         if self.pattern is None:
             return [self.whole(t) for t in texts]
-        split = [None if _UNSAFE.search(t) or any(s in t for s in self.specials) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
+        split = [None if self.unsafe.search(t) or any(s in t for s in self.specials) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
         if len(self.cache) > self.entries:
             self.older, self.cache = self.cache, {}
         self._learn({piece for pieces in split if pieces for piece in pieces})

@@ -33,6 +33,13 @@ def test_pieces_encode_as_the_library(spark, sf_dir, path):
         assert np.frombuffer(ours.encode(text), "<i4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_letters_encode_as_the_library(path):
+    texts = [f"a{c}b {c} {c}li" for c in map(chr, [*range(0x21, 0x250), *range(0x2010, 0x2028), 0x212A, 0x212B])]
+    got = [np.frombuffer(x, "<i4").tolist() for x in PieceTokenizer(path).encode_all(texts)]
+    assert [t for t, x, y in zip(texts, got, library_ids(path, texts), strict=True) if x != y] == []
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i * 3, t, "s") for i, t in enumerate(ODD)] + [(6, "repeat", "s"), (6, "repeat", "s"), (None, None, None), (99, None, "s")]
     path = str(tmp_path / "t")

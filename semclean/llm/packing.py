@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lean, materialize, sliced, text_column
-from .tokenizer import tokenizer
+from .token_output import CACHED_PIECES
+from .tokenizer import CACHE_ENTRIES, tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, unit int, rank_in_unit long"
 
@@ -85,6 +86,7 @@ def _cutter(path: str, end_id: int, capacity: int, release: bool):
         from pyspark import TaskContext
 
         pieces = tokenizer(path)
+        pieces.entries = CACHE_ENTRIES if release else CACHED_PIECES
         unit = TaskContext.get().partitionId()
         seen: dict[int, int] = {}
         tail, step = np.array([end_id], "<i4").tobytes(), 4 * capacity

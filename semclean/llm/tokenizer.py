@@ -1,15 +1,17 @@
 """Batch encoding by the ``tokenizers`` library with a cache of the pieces its pre-tokenizer makes.
 
 Both supported kinds of vocabulary encode every pre-token on its own, so a text's ids are its pieces'
-ids joined. Pieces are split here by the same pattern, the library encodes a task's new pieces together,
-and the rest is dictionary look-ups. A text with a character outside the set for which the patterns
-provably agree, or with an added token's string, goes to the library whole. No vocabulary is copied or
-trained.
+ids joined. Pieces are split here by the same pattern, the library's model merges a new piece's bytes, and
+the rest is dictionary look-ups. The model alone is asked since its normalizer and pre-tokenizer leave such
+pieces as they are, and take longer than the merging. A text with a character outside the set for which the
+patterns provably agree, or with an added token's string, goes to the library whole. No vocabulary is
+copied or trained.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 _L = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
@@ -18,14 +20,17 @@ _UNSAFE = re.compile(f"[^{_L}0-9 \\t\\n\\r{_P}]")
 #: The letters that are still in that set when lowered: the small form of some capitals (Ə, Ɔ, Ⱥ) is beyond it.
 _LOWERED = "".join(c for c in map(chr, range(0x250)) if re.match(f"[{_L}]", c) and re.match(f"[{_L}]", c.lower()))
 _UNSAFE_LOWERED = re.compile(f"[^{_LOWERED}0-9 \\t\\n\\r{_P}]")
-_BYTE_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[0-9]+| ?[^ \\t\\n\\r{_L}0-9]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
-_WORD_LEVEL = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[0-9]|[^ \\t\\n\\r{_L}0-9]+")
+#: Alternatives that begin differently may stand in any order; the commonest come first.
+_BYTE_LEVEL = re.compile(f" ?[{_L}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^ \\t\\n\\r{_L}0-9]+|[ \\t\\n\\r]+(?![^ \\t\\n\\r])|[ \\t\\n\\r]+")
+_WORD_LEVEL = re.compile(f"[{_L}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^ \\t\\n\\r{_L}0-9]+")
+
+_SHOWN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+#: How a byte-level vocabulary writes bytes: these as Latin-1, the others from U+0100 on.
+_WRITTEN = {byte: 0x100 + i for i, byte in enumerate(x for x in range(256) if x not in _SHOWN)}
 
 #: Pieces of a generation of a worker's cache; there are two. Longer pieces than ``CACHE_CHARS`` are forgotten after
 #: their batch, so a generation holds some 20 MB at most. Neither changes results.
 CACHE_ENTRIES, CACHE_CHARS = 90_000, 64
-#: Pieces that one call of the library encodes.
-CALL_PIECES = 8192
 
 
 def tokenizer_path(name: str) -> str:
@@ -35,6 +40,34 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Pieces(dict):
+    """The ids of pieces; one that is new comes from the older generation, else from the library's ``model``."""
+
+    def __init__(self, model, older: dict[str, bytes]) -> None:
+        self.merge, self.older, self.long = model.tokenize, older, []
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.older.get(piece)
+        if found is None:
+            ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(_WRITTEN))]
+            found = struct.pack(f"<{len(ids)}i", *ids)
+        self[piece] = found
+        if len(piece) > CACHE_CHARS:
+            self.long.append(piece)
+        return found
+
+
+def _kind(spec: dict) -> tuple[re.Pattern | None, bool]:
+    """The pattern that a byte-level vocabulary's texts are split by, and whether they are lowered first; None: the library encodes them."""
+    pre = spec.get("pre_tokenizer") or {}
+    if spec["model"].get("type") != "BPE":
+        return None, False
+    if pre.get("type") == "ByteLevel":
+        return _BYTE_LEVEL, False
+    steps = [x.get("type") for x in pre.get("pretokenizers", [])]
+    return (_WORD_LEVEL, True) if steps == ["Split", "ByteLevel"] and spec.get("normalizer") else (None, False)
+
+
 class PieceTokenizer:
     """``encode(text)`` gives the little-endian 32-bit ids of ``text``, without special tokens."""
 
@@ -47,53 +80,37 @@ class PieceTokenizer:
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        specials = [t["content"] for t in spec.get("added_tokens", [])]
-        self.specials = specials
-        kind = (spec.get("pre_tokenizer") or {}).get("type")
-        self.pattern, self.lower = (_BYTE_LEVEL, False) if kind == "ByteLevel" else (_WORD_LEVEL, True) if specials and spec.get("normalizer") else (None, False)
+        self.specials = [t["content"] for t in spec.get("added_tokens", [])]
+        self.pattern, self.lower = _kind(spec)
         self.unsafe = _UNSAFE_LOWERED if self.lower else _UNSAFE
         self._np = np
         self.entries = CACHE_ENTRIES
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.forget()
 
     def whole(self, text: str) -> bytes:
         return self._np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4").tobytes()
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Put the pieces that the cache lacks into it: from the older generation, else by the library."""
-        new = []
-        for piece in pieces.difference(self.cache):
-            if (known := self.older.get(piece)) is None:
-                new.append(piece)
-            else:
-                self.cache[piece] = known
-        np = self._np
-        for lo in range(0, len(new), CALL_PIECES):
-            part = new[lo : lo + CALL_PIECES]
-            found = self.library.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<i4").tobytes()
-            ends = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1)) * 4
-            for piece, x, y in zip(part, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                self.cache[piece] = ids[x:y]
-
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text; all pieces new to the cache are encoded together."""
+        """The ids of each text."""
         if self.pattern is None:
             return [self.whole(t) for t in texts]
-        split = [None if self.unsafe.search(t) or any(s in t for s in self.specials) else self.pattern.findall(t.lower() if self.lower else t) for t in texts]
         if len(self.cache) > self.entries:
-            self.older, self.cache = self.cache, {}
-        self._learn({piece for pieces in split if pieces for piece in pieces})
-        get = self.cache.__getitem__
-        out = [self.whole(t) if pieces is None else b"".join(map(get, pieces)) for t, pieces in zip(texts, split, strict=True)]
-        for piece in {piece for pieces in split if pieces for piece in pieces if len(piece) > CACHE_CHARS}:
+            self.cache.older = {}
+            self.cache = _Pieces(self.library.model, self.cache)
+        get, split, out = self.cache.__getitem__, self.pattern.findall, []
+        for t in texts:
+            if self.unsafe.search(t) or any(s in t for s in self.specials):
+                out.append(self.whole(t))
+            else:
+                out.append(b"".join(map(get, split(t.lower() if self.lower else t))))
+        for piece in self.cache.long:
             del self.cache[piece]
+        self.cache.long.clear()
         return out
 
     def forget(self) -> None:
         """Give the cache's memory back; for workers that go on to other work."""
-        self.cache, self.older = {}, {}
+        self.cache = _Pieces(self.library.model, {})
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]

@@ -7,7 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from semclean.llm import mixing, packing, token_output
-from semclean.llm.tokenizer import PieceTokenizer, tokenizer_path
+from semclean.llm.tokenizer import CACHE_CHARS, PieceTokenizer, tokenizer_path
 
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 ODD = ["", " ", "\n\n a", "It's  they'LL\t\n x", "İstanbul é́ é", "你好 world", "a b c", "<|endoftext|> x", "hello <|endoftext|> bye<|startoftext|>", "<|ENDOFTEXT|> a<|endoftext|><|endoftext|>", "!!'s 12 3", "x" * 5000, "  lead trail  ", "ŉ ǅ ß ẞ", "a\x1cb\x85c", "don't 'S", "½²ª"]
@@ -40,6 +40,20 @@ def test_letters_encode_as_the_library(path):
     assert [t for t, x, y in zip(texts, got, library_ids(path, texts), strict=True) if x != y] == []
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_new_pieces_take_the_model_alone(path):
+    """The normalizer and the pre-tokenizer, which cost more than the merging, aren't run on pieces."""
+    rng = np.random.default_rng(3)
+    letters = list("abdelmrstv'  \n\t\r1.!-«É") + ["'s", "'LL ", "ı", "Ș"]
+    texts = ["=" * 100, "=" * 100] + ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)]
+    want = library_ids(path, texts)
+    ours = PieceTokenizer(path)
+    ours.entries, ours.library = 50, type("Library", (), {"model": ours.library.model})
+    got = [x for at in range(0, len(texts), 100) for x in ours.encode_all(texts[at : at + 100])]
+    assert [np.frombuffer(x, "<i4").tolist() for x in got] == want
+    assert max(map(len, ours.cache)) <= CACHE_CHARS
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i * 3, t, "s") for i, t in enumerate(ODD)] + [(6, "repeat", "s"), (6, "repeat", "s"), (None, None, None), (99, None, "s")]
     path = str(tmp_path / "t")

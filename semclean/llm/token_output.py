@@ -39,22 +39,20 @@ def _encoder(path: str, end_id: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = tokenizer(path)
         pieces.entries = CACHED_PIECES
-        tail = b"" if end_id is None else np.array([end_id], "<i4").tobytes()
+        tail = () if end_id is None else (end_id,)
         part, row, start = -1, 0, 0
-        for batch in sliced(batches, most=2 << 20):
-            ids = [x + tail for x in pieces.encode_all(text_column(batch))]
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
+        for batch in sliced(batches, most=4 << 20):
+            ids, lengths = pieces.encode_joined(text_column(batch), tail)
             parts = batch.column(batch.schema.get_field_index("part")).to_numpy()
-            rows, starts = np.empty(len(ids), np.int64), np.empty(len(ids), np.int64)
+            rows, starts = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
             for i, (p, n) in enumerate(zip(parts.tolist(), lengths.tolist(), strict=True)):
                 if p != part:
                     part, row, start = p, 0, 0
                 rows[i], starts[i] = row, start
                 row, start = row + 1, start + n
             offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(parts), pa.array(rows), pa.array(starts), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [batch.column(batch.schema.get_field_index("doc_id")), pa.array(parts), pa.array(rows), pa.array(starts), pa.array(lengths), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))],
                 names=["doc_id", "part", "row_in_part", "start_in_part", "n_tokens", "ids"],
             )
 

@@ -54,6 +54,54 @@ def test_new_pieces_take_the_model_alone(path):
     assert max(map(len, ours.cache)) <= CACHE_CHARS
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_batches_encode_as_the_library(path):
+    """Cut by batch, with ends, texts that go to the library whole, long pieces and generations of the cache."""
+    rng = np.random.default_rng(5)
+    parts = list("aestrvmldRE''''   \n\t\r19.!-«É¡—‐’ıȘ") + ["'s", "'re", "'ll ", "'d", "  '", " 'm", "\n've", "é'", "你", "<|endoftext|>", "=" * 70, " " * 70]
+    weights = np.array([0.02 if len(x) > 10 or x == "你" else 1 for x in parts])
+    texts = ODD + ["".join(rng.choice(parts, rng.integers(0, 25), p=weights / weights.sum())) for _ in range(4000)]
+    ours = PieceTokenizer(path)
+    ours.entries = 300
+    for at in range(0, len(texts), 150):
+        some = texts[at : at + 150]
+        for tail in ((), (2,), (7, 8)):
+            ids, lengths = ours.encode_joined(some, tail)
+            want = [[*x, *tail] for x in library_ids(path, some)]
+            assert lengths.tolist() == [len(x) for x in want]
+            assert ids.tolist() == [i for x in want for i in x]
+    assert [len(x) for x in ours.encode_joined([], (2,))] == [0, 0]
+
+
+def test_new_pieces_are_merged_many_at_once():
+    """Calls of the model for one new piece each took most of the time."""
+    texts = [f"{a}{b} {b}{a}" for a in "abcdefghijklm" for b in ("ent", "ous", "ing", "lich", "keit", "ción", "eur", "tz")]
+    want = library_ids(BYTE, texts)
+    ours = PieceTokenizer(BYTE)
+    model, calls = ours.library.model, []
+
+    class Counting:
+        def tokenize(self, piece):
+            calls.append(piece)
+            return model.tokenize(piece)
+
+    ours.library = type("Library", (), {"model": Counting()})
+    ours.forget()
+    assert [np.frombuffer(x, "<i4").tolist() for x in ours.encode_all(texts)] == want
+    assert len(ours.cache) > 150
+    assert len(calls) <= len(ours.cache) / 20
+    assert ours.encode_all(texts) and len(calls) <= len(ours.cache) / 20
+
+
+def test_marks_stand_only_between_pieces_that_they_leave_alone():
+    from semclean.llm.tokenizer import _mark_id
+
+    model = {"vocab": {"Ā": 3, "a": 4}, "merges": [["a", "a"], "a b"]}
+    assert _mark_id(model) == 3
+    for other in ({"merges": [["Ā", "a"]]}, {"merges": ["a Ā"]}, {"vocab": {}}, {"end_of_word_suffix": "</w>"}, {"continuing_subword_prefix": "##"}, {"ignore_merges": True}):
+        assert _mark_id(model | other) is None
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i * 3, t, "s") for i, t in enumerate(ODD)] + [(6, "repeat", "s"), (6, "repeat", "s"), (None, None, None), (99, None, "s")]
     path = str(tmp_path / "t")
